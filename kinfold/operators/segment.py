@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import map_batches
+
 
 def automaton(values: set[str]):
     """Multi-pattern automaton, None for no values."""
@@ -101,5 +103,5 @@ def segment(lists: DataFrame, keys: list[str], packed: str, dictionary: DataFram
             yield out
 
     fields = ", ".join(f"`{n}` {lists.schema[n].dataType.simpleString()}" for n in names)
-    values = lists.mapInPandas(run, f"{fields}, values_ array<string>")
+    values = map_batches(lists, run, f"{fields}, values_ array<string>")
     return values.select(*keys, F.posexplode("values_").alias("p_", "value")).select(*keys, (F.col("p_") + 1).alias("pos"), "value")

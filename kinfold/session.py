@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +55,20 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` after sending this package to the executors, once for each Spark context."""
+    context = df.sparkSession.sparkContext
+    if _SENT.get("to") != context.applicationId:
+        root = Path(__file__).resolve().parent
+        target = os.path.join(tempfile.mkdtemp(prefix="kinfold-"), "kinfold.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, str(p.relative_to(root.parent)))
+        context.addPyFile(target)
+        _SENT["to"] = context.applicationId
+    return df.mapInPandas(run, schema)
+
+
+_SENT: dict[str, str] = {}
