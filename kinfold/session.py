@@ -57,18 +57,24 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """``df.mapInPandas(run, schema)`` after sending this package to the executors, once for each Spark context."""
-    context = df.sparkSession.sparkContext
-    if _SENT.get("to") != context.applicationId:
-        root = Path(__file__).resolve().parent
-        target = os.path.join(tempfile.mkdtemp(prefix="kinfold-"), "kinfold.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        context.addPyFile(target)
-        _SENT["to"] = context.applicationId
-    return df.mapInPandas(run, schema)
+_SENT: dict[str, str] = {}
 
 
-_SENT: dict[str, str] = {}
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context, for Python functions that run there."""
+    context = spark.sparkContext
+    if _SENT.get("to") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="kinfold-"), "kinfold.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(target)
+    _SENT["to"] = context.applicationId
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInPandas(run, schema)
