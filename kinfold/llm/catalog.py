@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import addresses, names
+from kinfold.llm import addresses, encode, linkage, names, topn
+from kinfold.operators.segment import segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +49,61 @@ def p3_found(spark, d):
 def p4_found(spark, d):
     """Pairs of records at one building with different addresses."""
     return addresses.same_building(_records(spark, d))
+
+
+# ---------------------------------------------------------------- problem 2: top N items within every group
+
+_TOP = """SELECT s1_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) AS INTEGER) AS rank, cand_id, score FROM
+ (SELECT s1_id, cand_id, max(score) AS score FROM pairs_s2 WHERE score IS NOT NULL AND NOT isnan(score) AND cand_id IS NOT NULL GROUP BY ALL) QUALIFY rank <= 5"""
+
+
+@query("p2_found", f"SELECT s1_id, cand_id FROM ({_TOP})")
+def p2_found(spark, d):
+    """The five best-scored candidates of every S1 record."""
+    return topn.top_n(_t(spark, d, "pairs_s2"), "s1_id", "cand_id", "score", 5).select("s1_id", "cand_id")
+
+
+@query("p2_ranked", _TOP)
+def p2_ranked(spark, d):
+    """The five best-scored candidates of every S1 record with rank and score."""
+    return topn.top_n(_t(spark, d, "pairs_s2"), "s1_id", "cand_id", "score", 5)
+
+
+# ---------------------------------------------------------------- problem 6: matching entities without keys
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """The labelled links, with the ids of the packed lists read whole."""
+    ids = _records(spark, d).select("entity_id")
+    lists = segment(_t(spark, d, "train_matches"), ["source1_entity_id"], "matched_entity_ids", ids, "S[0-9]+-[0-9]+")
+    return lists.select(F.col("source1_entity_id").alias("s1_id"), F.col("value").alias("cand_id")).distinct()
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    labelled = _t(spark, d, "train_matches").select(F.col("source1_entity_id").alias("s1_id")).distinct()
+    return linkage.link(_records(spark, d), _known(spark, d)).join(labelled, "s1_id", "left_anti")
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    """Matches of the unlabelled S1 records."""
+    return _linked(spark, d).select("s1_id", "cand_id").distinct()
+
+
+@query("p6_confidence")
+def p6_confidence(spark, d):
+    """Matches of the unlabelled S1 records with their confidence."""
+    return _linked(spark, d)
+
+
+# ---------------------------------------------------------------- problem 7: encoding of the whole corpus
+
+@query("p7_ids")
+def p7_ids(spark, d):
+    """Token ids of every document by byte_bpe_50k."""
+    return encode.encode(_t(spark, d, "documents"))
+
+
+@query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_decoded(spark, d):
+    """Every document encoded and decoded again."""
+    return encode.decode(p7_ids(spark, d))

@@ -87,7 +87,7 @@ def _vocabulary() -> dict[str, tuple[str, str]]:
 
 VOCABULARY = _vocabulary()
 #: Words long enough to be recognised when mistyped, by skeleton and by first and last letters.
-_LONG = {w: v for w, v in VOCABULARY.items() if len(w) >= 5 or len(w) == 4 and w == v[1] and v[0] != "given"}
+_LONG = {w: v for w, v in VOCABULARY.items() if len(w) >= 5 and (v[0] != "line" or w in X.LINES or len(w) >= 7) or len(w) == 4 and w == v[1] and v[0] != "given"}
 _BY_SKELETON = {skeleton(w): v for w, v in reversed(_LONG.items()) if len(skeleton(w)) >= 3}
 
 
@@ -246,7 +246,7 @@ def rewritings(names: DataFrame) -> DataFrame:
 
 
 def name_groups(names: DataFrame) -> DataFrame:
-    """``name, n, node, root``: names with the group of spellings they belong to (columns ``name, n``, distinct names).
+    """``name, n, node, context, forms, root``: names with the group of spellings they belong to (columns ``name, n``, distinct names).
 
     The forms of all names are exploded into keys - a form with one letter left out at each place, and its first and last
     six letters - together with context, brand and first letter of the given name. Under each key a form meets the one of
@@ -277,7 +277,7 @@ def name_groups(names: DataFrame) -> DataFrame:
     given = (h == k) | (F.length(h) == 1) | (F.length(k) == 1)
     edges = pairs.filter(given & alike).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     groups = roots(nodes.select(F.col("node").alias("id"), "weight"), edges)
-    return read_.select("name", "n", "node").join(groups.select(F.col("id").alias("node"), "root"), "node")
+    return read_.select("name", "n", "node", "context", "forms").join(groups.select(F.col("id").alias("node"), "root"), "node")
 
 
 def same_organisation(names: DataFrame) -> DataFrame:
