@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import addresses, encode, linkage, names, topn
+from kinfold.llm import addresses, encode, linkage, mixing, names, topn, truncation
 from kinfold.operators.segment import segment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,44 @@ def p7_ids(spark, d):
 def p7_decoded(spark, d):
     """Every document encoded and decoded again."""
     return encode.decode(p7_ids(spark, d))
+
+
+# ---------------------------------------------------------------- problem 8: mixing sources to target weights
+
+@query("p8_mix")
+def p8_mix(spark, d):
+    """The documents of the mix with their number of copies."""
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    """Actual shares of the mix by source."""
+    return mixing.shares(p8_mix(spark, d), _t(spark, d, "mix_targets"))
+
+
+@query("p8_shares_soft")
+def p8_shares_soft(spark, d):
+    """Actual shares when documents without a source may be used once, by their posterior."""
+    return mixing.shares(mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"), unlabelled_repeats=1), _t(spark, d, "mix_targets"))
+
+
+@query("p8_holdout")
+def p8_holdout(spark, d):
+    """Held-out accuracy of the source classifier."""
+    domains = sorted(r["source"] for r in _t(spark, d, "mix_targets").filter(F.col("source").isNotNull()).collect())
+    return mixing.holdout(_t(spark, d, "documents"), domains)
+
+
+# ---------------------------------------------------------------- problem 9: text cut off by field limits
+
+@query("p9_found")
+def p9_found(spark, d):
+    """Documents that were cut off before their end."""
+    return truncation.truncated(_t(spark, d, "documents")).filter("cut").select("doc_id").distinct()
+
+
+@query("p9_rates")
+def p9_rates(spark, d):
+    """How often each source cuts its documents off."""
+    return truncation.rates(truncation.truncated(_t(spark, d, "documents")))
