@@ -101,7 +101,7 @@ def _tsv(spark: SparkSession, df: DataFrame, schema) -> DataFrame:
     return io.read_tsv(spark, path, schema)
 
 
-@query("src_tsv_truth", "SELECT source1_entity_id, matched_entity_ids FROM train_matches")
+@query("src_tsv_truth", "SELECT source1_entity_id, nullif(matched_entity_ids, '') AS matched_entity_ids FROM train_matches")
 def src_tsv_truth(spark, d):
     return _tsv(spark, _t(spark, d, "train_matches"), io.S.TRUTH)
 

@@ -12,11 +12,11 @@ from kinfold.sources import schema as S
 def read_tsv(spark: SparkSession, path: str, schema: StructType = S.SOURCE, quote: str | None = '"') -> DataFrame:
     """Tab-separated file with a header under a pinned schema.
 
-    ``quote=None`` switches quoting off, so quotation marks stay in the values. An empty unquoted field is null, a
-    quoted empty field is the empty string, leading and trailing spaces are kept.
+    ``quote=None`` switches quoting off, so quotation marks stay in the values. An empty field is null, quoted or not;
+    leading and trailing spaces are kept.
     """
     r = spark.read.schema(schema).option("sep", "\t").option("header", True).option("enforceSchema", True)
-    r = r.option("emptyValue", "").option("multiLine", quote is not None)
+    r = r.option("multiLine", quote is not None)
     r = r.option("quote", quote).option("escape", quote) if quote else r.option("quote", "")
     return r.csv(path)
 
