@@ -73,11 +73,11 @@ def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 index: dict[str, int] = {}
                 at = [[index.setdefault(w, len(index)) for w in split_words(x)] if x else [] for x in texts[start : i + 1]]
                 n, m = len(at), len(index)
-                yield pd.DataFrame({"chunk": [part + number] * (n + m), "doc": pd.array([*pdf["doc"].tolist()[start : i + 1], *[None] * m], dtype="Int64"), "at": [*at, *[None] * m], "idx": pd.array([*[None] * n, *range(m)], dtype="Int32"), "word": [*[None] * n, *index]})
+                yield pd.DataFrame({"chunk": [part + number] * (n + m), "doc": [*pdf["doc"].tolist()[start : i + 1], *[None] * m], "at": [*at, *[None] * m], "idx": pd.array([*[None] * n, *range(m)], dtype="Int32"), "word": [*[None] * n, *index]})
                 start, size, number = i + 1, 0, number + 1
 
-    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text"))
-    return materialize(map_batches(source, run, "chunk long, doc long, at array<int>, idx int, word string"), "chunks")
+    source = docs.select(F.col(id_column).cast("string").alias("doc"), F.col(text).alias("text"))
+    return materialize(map_batches(source, run, "chunk long, doc string, at array<int>, idx int, word string"), "chunks")
 
 
 def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -100,11 +100,11 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
 
     def assemble(pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         ids = dict(zip(words["idx"], words["ids"]))
-        return pd.DataFrame({"doc": pdf["doc"].astype("Int64"), "ids": [[x for i in at for x in ids[i]] for at in pdf["at"]]})
+        return pd.DataFrame({"doc": pdf["doc"], "ids": [[x for i in at for x in ids[i]] for at in pdf["at"]]})
 
     ship(docs.sparkSession)
-    out = texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInPandas(assemble, "doc long, ids array<int>")
-    return out.select(F.col("doc").alias(id_column), "ids")
+    out = texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInPandas(assemble, "doc string, ids array<int>")
+    return out.select(F.col("doc").cast(docs.schema[id_column].dataType).alias(id_column), "ids")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:

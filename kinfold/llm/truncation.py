@@ -92,7 +92,9 @@ def tails(docs: DataFrame) -> DataFrame:
                 for no, (words, _) in enumerate(ends(text)):
                     rows += [(doc, no, k, _hash(words[-k:]), None, None) for k in WIDTHS if len(words) >= k]
                     rows.append((doc, no, 0, None, _hash(words[-3:-1]) if len(words) >= 3 else _hash(words[:-1]), words[-1]))
-            doc, no, width, gram, before, last = zip(*rows) if rows else ((),) * 6
+            if not rows:
+                continue
+            doc, no, width, gram, before, last = zip(*rows)
             yield pd.DataFrame({"doc": pd.array(doc, dtype="Int64"), "no": pd.array(no, dtype="Int32"), "width": pd.array(width, dtype="Int32"), "gram": pd.array(gram, dtype="Int64"), "before": pd.array(before, dtype="Int64"), "last": list(last)})
 
     return map_batches(docs, run, "doc long, no int, width int, gram long, before long, last string")
@@ -113,8 +115,11 @@ def windows(docs: DataFrame) -> DataFrame:
                         for k in WIDTHS:
                             if len(words) >= k:
                                 count[_hash(words[-k:])] += 1
+            if not following:
+                continue
             grams = list(ended.keys() | goes_on.keys())
-            yield pd.DataFrame({"gram": pd.array(grams, dtype="Int64"), "ended": [ended[g] for g in grams], "goes_on": [goes_on[g] for g in grams], "before": pd.array([None] * len(grams), dtype="Int64"), "word": None, "n": 0})
+            if grams:
+                yield pd.DataFrame({"gram": pd.array(grams, dtype="Int64"), "ended": [ended[g] for g in grams], "goes_on": [goes_on[g] for g in grams], "before": pd.array([None] * len(grams), dtype="Int64"), "word": None, "n": 0})
             yield pd.DataFrame({"gram": pd.array([None] * len(following), dtype="Int64"), "ended": 0, "goes_on": 0, "before": pd.array([b for b, _ in following], dtype="Int64"), "word": [w for _, w in following], "n": list(following.values())})
 
     return map_batches(docs.select("doc", "text"), run, "gram long, ended long, goes_on long, before long, word string, n long")
