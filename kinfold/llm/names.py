@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +34,10 @@ def plain(word: str) -> str:
     return word.translate(_DIGITS) if any(c.isalpha() for c in word) else word
 
 
-_SOUNDS = [(re.compile(a), b) for a, b in (("ght", "t"), ("tch", "ch"), ("sch", "sh"), ("ph", "f"), ("kh", "k"), ("ck", "k"), ("ee", "i"), ("oo", "u"), ("ch", "C"), ("[cq]", "k"), ("w", "v"), ("ks", "x"), ("[yl]", "i"), ("m", "rn"), ("th", "t"), ("g", "j"), (r"(.)\1+", r"\1"))]
+#: Fixed values, in order of use.
+_SOUNDS = (("ght", "t"), ("tch", "ch"), ("sch", "sh"), ("ph", "f"), ("kh", "k"), ("ck", "k"), ("ee", "i"), ("oo", "u"), ("ch", "C"))
+_LIKE = str.maketrans({"c": "k", "q": "k", "w": "v", "y": "i", "l": "i", "g": "j", "m": "rn"})
+_DOUBLED = re.compile(r"(.)\1+")
 
 
 @lru_cache(maxsize=400_000)
@@ -42,7 +45,9 @@ def skeleton(word: str) -> str:
     """A spelling that sounds and looks alike share: one letter for each group of exchangeable ones, none doubled."""
     w = plain(word)
     for a, b in _SOUNDS:
-        w = a.sub(b, w)
+        if a in w:
+            w = w.replace(a, b)
+    w = _DOUBLED.sub(r"\1", w.translate(_LIKE).replace("ks", "x").replace("th", "t"))
     return w[:-1] if len(w) > 4 and w.endswith("e") else w
 
 
@@ -95,18 +100,22 @@ def _cuts(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-def _cuts2(word: str) -> set[str]:
-    return {y for x in _cuts(word) for y in _cuts(x)}
-
-
 _BY_CUT: dict[str, set[str]] = {}
 for _w in _LONG:
     for _x in _cuts(_w):
         _BY_CUT.setdefault(_x, set()).add(_w)
-_BY_CUT2: dict[str, set[str]] = {}
-for _w in _LONG:
-    for _x in _cuts2(_w) if len(_w) >= 7 else ():
-        _BY_CUT2.setdefault(_x, set()).add(_w)
+
+
+def _letters(word: str) -> int:
+    """The set of letters as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 31)
+    return bits
+
+
+#: Letters, length and word of those long enough to be recognised with two edits; an edit changes at most two letters of the set.
+_SETS = [(_letters(w), len(w), w) for w in _LONG if len(w) >= 7]
 
 
 @lru_cache(maxsize=400_000)
@@ -124,8 +133,8 @@ def known(word: str) -> tuple[str, str] | None:
     near = {x for c in _cuts(w) for x in _BY_CUT.get(c, ())}
     near = {x for x in near if edits(w, x, 1) == 1}
     if not near and len(w) >= 7:
-        near = {x for c in _cuts2(w) for x in _BY_CUT2.get(c, ())}
-        near = {x for x in near if edits(w, x) == 2}
+        bits, n = _letters(w), len(w)
+        near = {x for b, k, x in _SETS if -2 <= k - n <= 2 and (b ^ bits).bit_count() <= 4 and edits(w, x) == 2}
     return VOCABULARY[min(near)] if near else None
 
 
@@ -257,25 +266,27 @@ def name_groups(names: DataFrame) -> DataFrame:
     read_ = materialize(rewritings(names), "rewritings")
     nodes = read_.groupBy("node", *FORM).agg(F.sum("n").alias("weight"), F.first("givens").alias("givens"), F.first("forms").alias("forms"))
     nodes = materialize(nodes, "forms")
-    own = nodes.select("node", "context", "brand", "weight", F.explode("givens").alias("given"), "forms").select("*", F.explode("forms").alias("form")).drop("forms")
+    own = nodes.select("node", "weight", F.xxhash64("context", "brand").alias("about"), F.explode("givens").alias("given"), "forms").select("node", "weight", F.xxhash64("about", F.left("given", F.lit(1))).alias("about"), F.explode("forms").alias("form"))
     cut = F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.concat(F.substring(F.col("form"), F.lit(1), i - 1), F.substring(F.col("form"), i + 1, F.lit(1000000))))
     keys = F.when(F.length("form") >= 3, F.array_distinct(F.concat(F.array("form"), cut))).otherwise(F.array("form"))
     ends = F.when(F.length("form") >= 8, F.array(F.concat(F.lit("<"), F.left("form", F.lit(6))), F.concat(F.lit(">"), F.right("form", F.lit(6))))).otherwise(F.array().cast("array<string>"))
-    long = own.select("node", "weight", "given", "form", F.xxhash64("context", "brand", F.left("given", F.lit(1))).alias("about"), F.explode(F.concat(keys, ends)).alias("key"))
-    w = W.partitionBy("k").orderBy(F.desc("weight"), "node", "form")
-    me = F.struct("node", "weight", "given", "form")
-    met = long.select(F.xxhash64("about", "key").alias("k"), "node", "weight", "given", "form")
-    met = met.select(me.alias("a"), F.first(me).over(w).alias("hub"), F.lag(me).over(w).alias("prev"))
-    met = met.select("a", F.array_compact(F.array("hub", "prev")).alias("bs"))
-    pairs = met.select("a", F.explode("bs").alias("b")).filter("a.node <> b.node")
-    f, g = F.col("a.form"), F.col("b.form")
-    two = F.levenshtein(f, g, 2)
-    swapped = (two == 2) & (F.array_sort(F.split(f, "")) == F.array_sort(F.split(g, "")))
-    rare = F.least("a.weight", "b.weight") <= 3
-    alike = (f == g) | (F.least(F.length(f), F.length(g)) >= 4) & ((two == 1) | swapped) | (two == 2) & (F.least(F.length(f), F.length(g)) >= 9) & rare
-    h, k = F.col("a.given"), F.col("b.given")
-    given = (h == k) | (F.length(h) == 1) | (F.length(k) == 1)
-    edges = pairs.filter(given & alike).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    # Only numbers travel to the keys; the few pairs that come back fetch their forms.
+    met = own.select("node", "weight", "about", F.explode(F.concat(keys, ends)).alias("key")).select("node", "weight", F.xxhash64("about", "key").alias("k"))
+    w = W.partitionBy("k").orderBy(F.desc("weight"), "node")
+    met = met.select(F.col("node").alias("a"), F.first("node").over(w).alias("hub"), F.lag("node").over(w).alias("prev"))
+    pairs = met.filter("hub <> a OR prev <> a").select("a", F.explode(F.array("hub", "prev")).alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.struct("context", "brand", "weight", "givens", "forms").alias(f"{x}_"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_.context = b_.context AND a_.brand = b_.brand")
+    rare = F.least("a_.weight", "b_.weight") <= 3
+
+    def alike(f: Column, g: Column) -> Column:
+        two, shorter = F.levenshtein(f, g, 2), F.least(F.length(f), F.length(g))
+        swapped = (two == 2) & (F.array_sort(F.split(f, "")) == F.array_sort(F.split(g, "")))
+        return (f == g) | (shorter >= 4) & ((two == 1) | swapped) | (two == 2) & (shorter >= 9) & rare
+
+    some = lambda of, test: F.exists(f"a_.{of}", lambda f: F.exists(f"b_.{of}", lambda g: test(f, g)))
+    given = some("givens", lambda h, k: (h == k) | (F.length(h) == 1) & F.startswith(k, h) | (F.length(k) == 1) & F.startswith(h, k))
+    edges = pairs.filter(given & some("forms", alike)).select("a", "b")
     groups = roots(nodes.select(F.col("node").alias("id"), "weight"), edges)
     return read_.select("name", "n", "node", "context", "forms").join(groups.select(F.col("id").alias("node"), "root"), "node")
 
