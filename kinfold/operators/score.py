@@ -11,18 +11,21 @@ from kinfold.functions import text as X
 
 def pair_features(pairs: DataFrame, s1: DataFrame, cand: DataFrame) -> DataFrame:
     """Name, address and source features of candidate pairs; two id joins and projections."""
-    a = s1.select(F.col("entity_id").alias("s1_id"), F.col("name_norm").alias("n1"), F.col("address_norm").alias("a1"))
-    b = cand.select(F.col("entity_id").alias("cand_id"), F.col("name_norm").alias("n2"), F.col("address_norm").alias("a2"))
-    n1, n2, a1, a2 = (F.col(x) for x in ("n1", "n2", "a1", "a2"))
-    t1, t2, u1, u2 = (M.word_set(x) for x in (n1, n2, a1, a2))
-    num1, num2, p1, p2 = X.first_number(a1), X.first_number(a2), X.postal(a1), X.postal(a2)
-    words = lambda t: F.filter(t, lambda x: ~x.rlike("^[0-9]+$"))
-    return pairs.join(a, "s1_id").join(b, "cand_id").select(
+    def side(t: DataFrame, id_name: str, i: int) -> DataFrame:
+        n, a = F.col("name_norm"), F.col("address_norm")
+        words = M.word_set(a)
+        return t.select(
+            F.col("entity_id").alias(id_name), n.alias(f"n{i}"), M.word_set(n).alias(f"t{i}"), X.first_number(a).alias(f"num{i}"), X.postal(a).alias(f"p{i}"),
+            X.numbers(a).alias(f"d{i}"), F.filter(words, lambda x: ~x.rlike("^[0-9]+$")).alias(f"w{i}"))
+
+    # Words and numbers are taken apart once for a record, not once for each of its pairs.
+    n1, n2, num1, num2, p1, p2 = (F.col(x) for x in ("n1", "n2", "num1", "num2", "p1", "p2"))
+    return pairs.join(side(s1, "s1_id", 1), "s1_id").join(side(cand, "cand_id", 2), "cand_id").select(
         "s1_id", "cand_id", "cand_source",
-        M.edit_similarity(n1, n2).alias("name_similarity"), M.jaccard(t1, t2).alias("name_jaccard"), M.overlap(t1, t2).alias("name_overlap"),
+        M.edit_similarity(n1, n2).alias("name_similarity"), M.jaccard(F.col("t1"), F.col("t2")).alias("name_jaccard"), M.overlap(F.col("t1"), F.col("t2")).alias("name_overlap"),
         M.length_ratio(n1, n2).alias("name_length_ratio"), ((n1 != "") & (n2 != "") & (F.contains(n1, n2) | F.contains(n2, n1))).alias("name_contained"),
         ((num1 != "") & (num1 == num2)).alias("number_match"), ((p1 != "") & (p1 == p2)).alias("postal_match"),
-        M.overlap(X.numbers(a1), X.numbers(a2)).alias("numbers_overlap"), M.overlap(words(u1), words(u2)).alias("street_overlap"),
+        M.overlap(F.col("d1"), F.col("d2")).alias("numbers_overlap"), M.overlap(F.col("w1"), F.col("w2")).alias("street_overlap"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import keys as K
 from kinfold.functions import text as X
 from kinfold.operators import blocking as B
+from kinfold.operators import classify as C
 from kinfold.operators import compress as Z
 from kinfold.operators import measure as M
 from kinfold.operators import score as S
@@ -664,6 +665,14 @@ def score_split(spark, d):
     return S.split_by_entity(label_pairs(spark, d), "s1_id", 5)
 
 
+@query("score_classifier")
+def score_classifier(spark, d):
+    """Precision and recall of boosted trees on the labelled S1 entities they were not fitted on; models have no SQL."""
+    truth = _t(spark, d, "train_matches").select(F.col("source1_entity_id").alias("s1_id")).distinct()
+    feats = S.pair_features(_slim(spark, d).join(truth, "s1_id"), _keyed(spark, d, 1), _cands(spark, d))
+    return C.precision_recall(C.fit_and_score(S.label_pairs(feats, _links(spark, d))), [0.3, 0.5, 0.7])
+
+
 # ---------------------------------------------------------------- problem 1: a few keys hold most records
 
 _P1 = (("train_s1", "block_name_prefix5"), ("train_s2", "block_postal"), ("train_s3", "block_name_prefix5"))
