@@ -157,22 +157,23 @@ NODE = ["num", "street", "kind", "town", "code"]
 
 
 def readings(addresses: DataFrame) -> DataFrame:
-    """``address, country, place, num, street, kind, town, code`` of distinct addresses, ``place`` 0 for the likelier house number.
+    """``address, country, n, place, num, street, kind, town, code`` of distinct addresses (columns ``address, country, n``),
+    ``place`` 0 for the likelier house number and ``places`` how many there are.
 
     An address that names no building has no row.
     """
-    distinct = addresses.select("address", "country").filter(F.col("address") != "").distinct()
+    distinct = addresses.select("address", "country", F.col("n").cast("long")).filter(F.col("address") != "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for a, c in zip(pdf["address"], pdf["country"]):
+            for a, c, n in zip(pdf["address"], pdf["country"], pdf["n"]):
                 r = read(a, c)
                 if r:
-                    rows += [(a, c, i, num, *r[1:]) for i, num in enumerate(r[0])]
-            yield pd.DataFrame(rows, columns=["address", "country", "place", *NODE])
+                    rows += [(a, c, n, i, len(r[0]), num, *r[1:]) for i, num in enumerate(r[0])]
+            yield pd.DataFrame(rows, columns=["address", "country", "n", "place", "places", *NODE])
 
-    return map_batches(distinct, run, "address string, country string, place int, " + ", ".join(f"{x} string" for x in NODE))
+    return map_batches(distinct, run, "address string, country string, n long, place int, places int, " + ", ".join(f"{x} string" for x in NODE))
 
 
 def with_towns(read_: DataFrame) -> DataFrame:
@@ -208,39 +209,40 @@ def same_place() -> Column:
 def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
     """``address, country, building``: distinct addresses (columns ``address, country, n``) with the building they denote.
 
-    Passes sort by (number, code, street), (number, town, street), (number, kind, street) and (number, kind, street from
-    its end); every distinct reading takes part, so repeated addresses cost nothing and never fill a window. Complete
-    readings are grouped first. A reading without its kind, or without town and code, joins a building only if all its
-    neighbours agree on one; else it stays by itself. Null and empty addresses, and those of no building, have no row.
+    Passes sort by (number, code, street), (number, town, street), (number, street) and (number, street from its end), the
+    last two in blocks of two letters; every distinct reading takes part, so repeated addresses cost nothing and never
+    fill a window. Complete readings are grouped first. A reading without its kind, or without town and code, joins a
+    building only if all its neighbours agree on one; else it stays by itself. Null and empty addresses, and those of no
+    building, have no row.
     """
-    read_ = with_towns(materialize(readings(addresses), "readings"))
-    weights = addresses.groupBy("address", "country").agg(F.sum("n").alias("n"))
     key = F.xxhash64(*NODE)
-    counted = read_.filter("place = 0").join(weights, [read_["address"].eqNullSafe(weights["address"]), read_["country"].eqNullSafe(weights["country"])])
-    main = counted.groupBy(*NODE).agg(F.sum("n").alias("weight"))
+    read_ = materialize(with_towns(materialize(readings(addresses), "readings")).withColumn("id", key), "readings")
     full = (F.col("kind") != "") & ((F.col("town") != "") | (F.col("code") != ""))
-    nodes = materialize(main.select(key.alias("id"), *NODE, "weight", full.alias("full")), "places")
+    nodes = materialize(read_.filter("place = 0").groupBy("id", *NODE).agg(F.sum("n").alias("weight")).withColumn("full", full), "places")
+    street = nodes.withColumns({"head": F.left("street", F.lit(2)), "tail": F.right("street", F.lit(2))})
     passes = [
         (nodes.filter("code <> ''"), ["num", "code"], [F.col("street")]),
         (nodes.filter("town <> ''"), ["num", "town"], [F.col("street")]),
-        (nodes, ["num", "kind"], [F.col("street"), F.col("town")]),
-        (nodes, ["num", "kind"], [F.reverse("street"), F.col("town")]),
-        (nodes, ["num"], [F.col("street"), F.col("town")]),
+        (street, ["num", "head"], [F.col("street"), F.col("town")]),
+        (street, ["num", "tail"], [F.reverse("street"), F.col("town")]),
     ]
-    pairs = reduce(DataFrame.unionByName, [_neighbours(n, block, order, window) for n, block, order in passes])
-    edges = pairs.filter(same_place()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.full").alias("fa"), F.col("b.full").alias("fb"))
+    pairs = reduce(DataFrame.unionByName, [_neighbours(n, block, order, window).filter(same_place()) for n, block, order in passes])
+    edges = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.full").alias("fa"), F.col("b.full").alias("fb"))
     edges = materialize(edges.distinct(), "place_pairs")
     whole = roots(nodes.filter("full").select("id", "weight"), edges.filter("fa and fb").select("a", "b"))
     # A partial reading joins when its complete neighbours agree.
     part = edges.filter("fa <> fb").select(F.when(F.col("fa"), F.col("b")).otherwise(F.col("a")).alias("id"), F.when(F.col("fa"), F.col("a")).otherwise(F.col("b")).alias("of"))
     agreed = part.join(whole.select(F.col("id").alias("of"), "root"), "of").groupBy("id").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 = r1").select("id", F.col("r0").alias("root"))
     known = whole.select("id", "root").unionByName(agreed)
-    placed = nodes.select("id").join(known, "id", "left").select("id", F.coalesce("root", "id").alias("building"))
+    placed = read_.select("address", "country", "place", "places", "id").join(known, "id", "left").withColumn("building", F.coalesce("root", "id")).drop("root")
+    placed = materialize(placed, "placed")
+    sure = placed.filter("places = 1").select("address", "country", "building")
     # Of two possible house numbers the likelier one counts, unless only the other meets a building of other addresses.
-    by = read_.select("address", "country", "place", key.alias("id")).join(placed.join(nodes.select("id", "weight"), "id"), "id")
-    sizes = by.filter("place = 0").groupBy("building").agg(F.count(F.lit(1)).alias("size"))
+    open_ = placed.filter("places > 1")
+    sizes = placed.filter("place = 0").join(open_.select("building").distinct(), "building", "left_semi").groupBy("building").agg(F.count(F.lit(1)).alias("size"))
     best = F.struct(F.when((F.col("place") == 0) & (F.col("size") > 1), 3).when((F.col("place") > 0) & (F.col("size") >= 1), 2).otherwise(1).alias("rank"), (-F.col("place")).alias("p"), F.col("building").alias("building"))
-    return by.join(sizes, "building", "left").groupBy("address", "country").agg(F.max(best).alias("m")).select("address", "country", F.col("m.building").alias("building"))
+    chosen = open_.join(sizes, "building", "left").groupBy("address", "country").agg(F.max(best).alias("m")).select("address", "country", F.col("m.building").alias("building"))
+    return sure.unionByName(chosen)
 
 
 def same_building(records: DataFrame) -> DataFrame:
