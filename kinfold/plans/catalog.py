@@ -17,7 +17,7 @@ from kinfold.operators import score as S
 from kinfold.operators import segment as G
 from kinfold.operators import tokens as T
 from kinfold.operators import truth as L
-from kinfold.session import shared_dir
+from kinfold.session import scratch_path
 from kinfold.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,9 +95,7 @@ def src_tsv_quoted(spark, d):
 
 
 def _tsv(spark: SparkSession, df: DataFrame, schema) -> DataFrame:
-    import uuid
-
-    path = f"{shared_dir(spark)}/kinfold/tsv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tsv")
     io.write_tsv(df, path)
     return io.read_tsv(spark, path, schema)
 

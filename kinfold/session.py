@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -44,6 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, under the application's own folder, which is deleted when the driver ends."""
+    own = f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}"
+    if own not in _SWEPT:
+        _SWEPT.add(own)
+        atexit.register(_sweep, spark, own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+_SWEPT: set[str] = set()
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the context may be gone already; what is left is only scratch
+        pass
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
@@ -52,7 +73,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     see real statistics afterwards.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,3 +99,25 @@ def map_batches(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str)
     """``df.mapInPandas(run, schema)`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInPandas(run, schema)
+
+
+def map_columns(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """Batches as lists of Python values by column, in and out: Arrow without the detour over pandas.
+
+    ``run`` gets the columns of a batch and gives those of ``schema``, of any common length.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    ship(df.sparkSession)
+    fields = _parse_datatype_string(schema)
+    assert isinstance(fields, StructType)
+    target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+    def batches(it: Iterator) -> Iterator:
+        for batch in it:
+            out = run(batch.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
+    return df.mapInArrow(batches, schema)
