@@ -9,10 +9,8 @@ street strictly.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from kinfold.llm import lexicon as X
 from kinfold.llm.graph import near, roots
 from kinfold.llm.names import plain, skeleton
-from kinfold.session import map_batches, materialize
+from kinfold.session import map_columns, materialize
 
 _KIND = {w: k for k, short in X.STREETS.items() for w in (k, *short.split())}
 _LANDMARK = re.compile(r"\b(?:opposite|opp|near|nr|next to|behind|beside(?: the)?|above(?: the)?) (?:town hall|bus stand|water tank|railway gate|clock tower|old mill|fish market|bakery)\b")
@@ -164,16 +162,16 @@ def readings(addresses: DataFrame) -> DataFrame:
     """
     distinct = addresses.select("address", "country", F.col("n").cast("long")).filter(F.col("address") != "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for a, c, n in zip(pdf["address"], pdf["country"], pdf["n"]):
-                r = read(a, c)
-                if r:
-                    rows += [(a, c, n, i, len(r[0]), num, *r[1:]) for i, num in enumerate(r[0])]
-            yield pd.DataFrame(rows, columns=["address", "country", "n", "place", "places", *NODE])
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        rows = []
+        for a, c, n in zip(batch["address"], batch["country"], batch["n"]):
+            r = read(a, c)
+            if r:
+                rows += [(a, c, n, i, len(r[0]), num, *r[1:]) for i, num in enumerate(r[0])]
+        columns = zip(*rows) if rows else ((),) * (5 + len(NODE))
+        return {name: list(values) for name, values in zip(("address", "country", "n", "place", "places", *NODE), columns)}
 
-    return map_batches(distinct, run, "address string, country string, n long, place int, places int, " + ", ".join(f"{x} string" for x in NODE))
+    return map_columns(distinct, run, "address string, country string, n long, place int, places int, " + ", ".join(f"{x} string" for x in NODE))
 
 
 def with_towns(read_: DataFrame) -> DataFrame:
@@ -186,7 +184,7 @@ def with_towns(read_: DataFrame) -> DataFrame:
 def _neighbours(nodes: DataFrame, block: list[str], order: list[Column], window: int) -> DataFrame:
     """Pairs of nodes at most ``window`` apart in the order of ``order`` inside each block."""
     w = W.partitionBy(*block).orderBy(*order, "id")
-    me = F.struct("id", *NODE, "full")
+    me = F.struct("id", *NODE, "full", "weight")
     seen = nodes.select(me.alias("a"), F.array(*[F.lag(me, k).over(w) for k in range(1, window + 1)]).alias("before"))
     return seen.select("a", F.explode(F.array_compact("before")).alias("b"))
 
@@ -203,7 +201,8 @@ def same_place() -> Column:
     unknown = ((a("town") == "") & (a("code") == "")) | ((b("town") == "") & (b("code") == ""))
     place = town_same | (code_same & (~towns | (a("street") == b("street")))) | (code_near & ~towns) | unknown | (~towns & ~codes & ~(a("full") & b("full")))
     loose = town_same & code_same & (F.least(F.length(a("street")), F.length(b("street"))) >= 6) & (F.levenshtein(a("street"), b("street"), 2) >= 0)
-    return (a("num") == b("num")) & kinds & (near(a("street"), b("street")) | loose) & place
+    rare = (a("street") == b("street")) | (F.least(a("weight"), b("weight")) <= 3)
+    return (a("num") == b("num")) & kinds & rare & (near(a("street"), b("street")) | loose) & place
 
 
 def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:

@@ -11,17 +11,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm import lexicon as X
 from kinfold.llm.graph import roots
-from kinfold.session import map_batches, materialize
+from kinfold.session import map_columns, materialize
 
 _DIGITS = str.maketrans("013456789", "oieasbtbg")
 
@@ -233,25 +231,29 @@ def forms(name: str) -> list[tuple[str, str, str, str]]:
     return [(context, brand, g, j) for g in givens for j in sorted(joined)]
 
 
-FORM = ["context", "brand", "given", "own"]
+FORM = ["context", "brand", "givens", "forms"]
 
 
 def rewritings(names: DataFrame) -> DataFrame:
-    """``name, n, node, context, brand, given, forms``: the canonical rewritings of distinct names (columns ``name, n``).
+    """``name, n, node, context, brand, givens, forms``: the canonical rewritings of distinct names (columns ``name, n``).
 
-    ``node`` identifies the first form. Null and empty names, placeholders and names without any word of their own have no row.
+    Several given names or forms are joined by bars; ``node`` identifies the whole. Null and empty names, placeholders and names without any word of their own have no row.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for name, n in zip(pdf["name"], pdf["n"]):
-                f = forms(name) if name else []
-                if f and (f[0][2] or f[0][3]):
-                    rows.append((name, n, *f[0], sorted({x[2] for x in f}), sorted({x[3] for x in f})))
-            yield pd.DataFrame(rows, columns=["name", "n", *FORM, "givens", "forms"])
-
-    schema = "name string, n long, context string, brand string, given string, own string, givens array<string>, forms array<string>"
-    return map_batches(names.select("name", F.col("n").cast("long")), run, schema).withColumn("node", F.xxhash64(*FORM))
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("name", "n", *FORM)}
+        for name, n in zip(batch["name"], batch["n"]):
+            f = forms(name) if name else []
+            if f and (f[0][2] or f[0][3]):
+                out["name"].append(name)
+                out["n"].append(n)
+                out["context"].append(f[0][0])
+                out["brand"].append(f[0][1])
+                out["givens"].append(f[0][2] if len(f) == 1 else "|".join(sorted({x[2] for x in f})))
+                out["forms"].append(f[0][3] if len(f) == 1 else "|".join(sorted({x[3] for x in f})))
+        return out
+
+    schema = "name string, n long, context string, brand string, givens string, forms string"
+    return map_columns(names.select("name", F.col("n").cast("long")), run, schema).withColumn("node", F.xxhash64(*FORM))
 
 
 def name_groups(names: DataFrame) -> DataFrame:
@@ -264,8 +266,8 @@ def name_groups(names: DataFrame) -> DataFrame:
     common one is an error, and two common ones are two names.
     """
     read_ = materialize(rewritings(names), "rewritings")
-    nodes = read_.groupBy("node", *FORM).agg(F.sum("n").alias("weight"), F.first("givens").alias("givens"), F.first("forms").alias("forms"))
-    nodes = materialize(nodes, "forms")
+    nodes = read_.groupBy("node", *FORM).agg(F.sum("n").alias("weight"))
+    nodes = materialize(nodes.withColumns({c: F.split(c, r"\|") for c in ("givens", "forms")}), "forms")
     own = nodes.select("node", "weight", F.xxhash64("context", "brand").alias("about"), F.explode("givens").alias("given"), "forms").select("node", "weight", F.xxhash64("about", F.left("given", F.lit(1))).alias("about"), F.explode("forms").alias("form"))
     cut = F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.concat(F.substring(F.col("form"), F.lit(1), i - 1), F.substring(F.col("form"), i + 1, F.lit(1000000))))
     keys = F.when(F.length("form") >= 3, F.array_distinct(F.concat(F.array("form"), cut))).otherwise(F.array("form"))
@@ -288,7 +290,7 @@ def name_groups(names: DataFrame) -> DataFrame:
     given = some("givens", lambda h, k: (h == k) | (F.length(h) == 1) & F.startswith(k, h) | (F.length(k) == 1) & F.startswith(h, k))
     edges = pairs.filter(given & some("forms", alike)).select("a", "b")
     groups = roots(nodes.select(F.col("node").alias("id"), "weight"), edges)
-    return read_.select("name", "n", "node", "context", "forms").join(groups.select(F.col("id").alias("node"), "root"), "node")
+    return read_.select("name", "n", "node", "context", F.split("forms", r"\|").alias("forms")).join(groups.select(F.col("id").alias("node"), "root"), "node")
 
 
 def same_organisation(names: DataFrame) -> DataFrame:
