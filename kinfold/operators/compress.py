@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.session import materialize
+
 
 def compress(df: DataFrame, keys: Sequence[str], value: str, freq: str = "freq") -> DataFrame:
     """One row per distinct (keys, value) with its number of rows as ``freq``.
@@ -56,9 +58,9 @@ def key_percentiles(df: DataFrame, keys: Sequence[str], measure: str, at: Sequen
 def heavy_keys(compressed: DataFrame, group: str, key: str, share: float, freq: str = "freq") -> DataFrame:
     """Keys that hold at least ``share`` of all rows of their group, rows without a key included in that total.
 
-    Both inputs of the join derive from the weighted rows; the totals side has one row per group.
+    The sizes are written once, for both inputs of the join; the totals side has one row per group.
     """
-    sizes = key_sizes(compressed, [group, key], freq)
+    sizes = materialize(key_sizes(compressed, [group, key], freq), "sizes")
     totals = sizes.groupBy(group).agg(F.sum("n_rows").alias("total_rows"))
     return (
         sizes.filter(F.col(key).isNotNull())
