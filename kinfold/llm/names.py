@@ -284,7 +284,7 @@ def name_groups(names: DataFrame) -> DataFrame:
     def alike(f: Column, g: Column) -> Column:
         two, shorter = F.levenshtein(f, g, 2), F.least(F.length(f), F.length(g))
         swapped = (two == 2) & (F.array_sort(F.split(f, "")) == F.array_sort(F.split(g, "")))
-        return (f == g) | (shorter >= 4) & ((two == 1) | swapped) | (two == 2) & (shorter >= 9) & rare
+        return (f == g) | (shorter >= 4) & ((two == 1) | swapped) | (two == 2) & (shorter >= 7) & rare
 
     some = lambda of, test: F.exists(f"a_.{of}", lambda f: F.exists(f"b_.{of}", lambda g: test(f, g)))
     given = some("givens", lambda h, k: (h == k) | (F.length(h) == 1) & F.startswith(k, h) | (F.length(k) == 1) & F.startswith(h, k))

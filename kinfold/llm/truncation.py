@@ -6,7 +6,7 @@ What a text would have gone on with is looked for in the whole corpus, in three
   prefix of any other is one of its successor;
 * the words before the end, six down to two of them: the corpus says how often the same words stand at the end of a
   sentence and how often they go on. An end whose words always go on is a prefix of longer copies and complete in none;
-* the last word: after the same words before it the corpus has words that start with it and are longer.
+* the last word: after the same words before it, or else anywhere, the corpus has words that start with it and are longer.
 
 Fixed-length windows are hashed and joined, so nothing is compared pairwise. A length at which one source has far more
 texts than at lengths near it, most of them with such ends, is a limit of its field: texts of that length are cut too. A
@@ -141,13 +141,23 @@ def judged(docs: DataFrame) -> DataFrame:
     last = ends_.filter("width = 0").select("doc", "no", "before", "last")
     pairs = last.select("before", "last").distinct()
     after = seen.filter(F.col("before").isNotNull()).join(last.select("before").distinct(), "before", "left_semi").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    # Words meet ends by their beginnings: linear in the words after a context, however many ends ask for it.
+    heads = lambda c, least: F.transform(F.sequence(F.lit(least), F.length(c) - 1), lambda i: F.left(c, i))
+    begun = after.filter(F.length("word") > 1).select("before", F.explode(heads(F.col("word"), 1)).alias("last"), F.col("n").alias("longer"), F.lit(0).alias("same"))
+    whole = after.select("before", F.col("word").alias("last"), F.lit(0).alias("longer"), F.col("n").alias("same"))
     longer = (
-        pairs.join(after, "before").groupBy("before", "last")
-        .agg(F.sum(F.when((F.col("word") != F.col("last")) & F.startswith("word", F.col("last")), F.col("n")).otherwise(0)).alias("longer"), F.sum(F.when(F.col("word") == F.col("last"), F.col("n")).otherwise(0)).alias("same"))
+        begun.unionByName(whole).join(pairs, ["before", "last"], "left_semi").groupBy("before", "last").agg(F.sum("longer").alias("longer"), F.sum("same").alias("same"))
         .filter("longer >= 2 AND longer >= 5 * same - 5").select("before", "last", F.lit(True).alias("part"))
     )
-    verdict = last.join(by_window, ["doc", "no"], "left").join(longer, ["before", "last"], "left")
-    return verdict.withColumn("cut", F.coalesce("cut", "part")).filter(F.col("cut").isNotNull()).groupBy("doc").agg(F.max("cut").alias("cut"))
+    # A last word that the corpus hardly has, but many times as the start of longer ones, whatever stands before it.
+    vocabulary = seen.filter(F.col("before").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
+    wanted = last.filter(F.length("last") >= 2).select("last").distinct()
+    starts = vocabulary.filter(F.length("word") > 2).select(F.explode(heads(F.col("word"), 2)).alias("last"), "n")
+    starts = starts.join(wanted, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("starts"))
+    own = vocabulary.select(F.col("word").alias("last"), F.col("n").alias("own"))
+    stump = starts.filter("starts >= 20").join(own, "last", "left").filter("coalesce(own, 0) <= 2").select("last", F.lit(True).alias("stump"))
+    verdict = last.join(by_window, ["doc", "no"], "left").join(longer, ["before", "last"], "left").join(stump, "last", "left")
+    return verdict.withColumn("cut", F.coalesce("cut", "part", "stump")).filter(F.col("cut").isNotNull()).groupBy("doc").agg(F.max("cut").alias("cut"))
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
