@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as a mark and as white space.
 PUNCT = r"\p{Punct}+"  # ASCII marks only; typographic marks and other scripts stay
 SPACE = r"[\t\n\f\r ]+"  # not the vertical tab, not the no-break space
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import keys as K
 
-#: Join name, key of the left record, key of the right record, flag it sets.
+#: Fixed values. Join name, key of the left record, key of the right record, flag it sets.
 RULES = [
     ("exact_name", "block_name_exact", "block_name_exact", "match_exact_name"),
     ("exact_addr", "block_address_exact", "block_address_exact", "match_exact_addr"),

@@ -66,6 +66,7 @@ def distribution(df: DataFrame, column: str, tails: tuple[int, ...] = (100, 1000
     )
 
 
+#: Fixed values. Size class and its largest size.
 BUCKETS = [("0", 0), ("1-10", 10), ("11-100", 100), ("101-1K", 1000), ("1K-10K", 10000), ("10K-100K", 100000)]
 
 

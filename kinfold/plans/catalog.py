@@ -159,6 +159,7 @@ def _keys(n: int):
 for _n in (1, 2, 3):
     _keys(_n)
 
+#: Fixed values. Key name, column and length.
 _PREFIXES = [("name_prefix6", "name_norm", 6), ("name_prefix7", "name_norm", 7), ("name_prefix8", "name_norm", 8), ("addr_prefix10", "address_norm", 10), ("addr_prefix12", "address_norm", 12), ("addr_prefix14", "address_norm", 14)]
 
 
@@ -405,6 +406,7 @@ def recall_tokens(spark, d):
 
 _FREQ = """freq AS (SELECT token, count(*) AS frequency FROM (SELECT DISTINCT entity_id, unnest(string_split(name_norm,' ')) AS token FROM
  (SELECT entity_id, name_norm FROM e1 UNION ALL SELECT entity_id, name_norm FROM e2 UNION ALL SELECT entity_id, name_norm FROM e3)) WHERE token<>'' GROUP BY token)"""
+#: Fixed values.
 _CAPS = [10, 50, 100, 500, 1000]
 
 
@@ -584,6 +586,7 @@ def block_frequency(spark, d):
     return _bfreq(spark, d)
 
 
+#: Fixed values.
 _BCAPS = [25, 50, 100, 250]
 
 
