@@ -6,7 +6,7 @@ ABBREVIATIONS = {
     "engineering": "eng engg", "enterprises": "ent entp", "furniture": "furn", "garden": "gdn", "group": "grp", "hospital": "hosp hospl", "industries": "ind inds", "international": "int intl", "jewellers": "jewelers jwlrs",
     "logistics": "logist lgstcs", "management": "mgmt mgt", "manufacturing": "mfg manuf", "medical": "med medl", "packaging": "pkg packg", "pharmacy": "pharm phcy", "photography": "photo", "restaurant": "rest restrnt",
     "services": "svc svcs serv", "stores": "strs", "supplies": "supp suppl", "systems": "sys", "technologies": "tech techs technlgs", "textiles": "tex txtls", "veterinary": "vet", "works": "wks",
-    "brothers": "bros", "daughters": "dtrs", "sons": "son", "global": "gl glbl", "royal": "roy ryl", "metro": "met mtro", "nordic": "nord nrdc",
+    "brothers": "bros", "daughters": "dtrs", "sons": "son sos sns", "global": "gl glbl", "royal": "roy ryl", "metro": "met mtro", "nordic": "nord nrdc",
     "house": "hse", "express": "exp xpress", "station": "stn stat", "mobile": "mob", "club": "clb", "bank": "bnk", "mother": "mthr", "hotels": "htls", "coffee": "cofee", "kitchen": "kitchn", "store": "stor", "farm": "farms",
     "shoes": "shoe footwear", "sweets": "sweet",
 }

@@ -122,6 +122,10 @@ def known(word: str) -> tuple[str, str] | None:
     if word in VOCABULARY:
         return VOCABULARY[word]
     w = plain(word)
+    if w.startswith("and") and len(w) > 6:  # "and daughters" in one word
+        rest = known(w[3:])
+        if rest and rest[0] == "kin":
+            return rest
     if w in VOCABULARY:
         return VOCABULARY[w]
     if len(w) < 4:
@@ -143,7 +147,7 @@ def _shortens(word: str, last: bool) -> bool:
     for x in (*X.SECONDS, *X.LEGAL):
         if last and x.startswith(word):
             return True
-        if word[0] == x[0] and len(word) < len(x):
+        if len(word) <= 6 and word[0] == x[0] and len(word) < len(x):
             letters = iter(x)
             if all(c in letters for c in word):
                 return True
@@ -187,9 +191,9 @@ def read(name: str) -> tuple[str, str, str, tuple[str, ...]] | None:
             legal = True
         elif kind == "second":
             seconds.append(word)
-        elif plain(w) in ("and", "n", "of", "an", "andd", "adn", "ad", "the", "s") or w in ("p", "l") and (line or legal):
+        elif plain(w) in ("and", "n", "of", "an", "andd", "adn", "ad", "amd", "anf", "snd", "the", "s") or w in ("p", "l") and (line or legal):
             pass
-        elif (own or given) and (line or legal or seconds) and (_town(words, i) or len(w) <= 6 and _shortens(plain(w), i == n - 1)):
+        elif (own or given) and (line or legal or seconds) and (_town(words, i) or _shortens(plain(w), i == n - 1)):
             pass
         else:
             own.append(w)
@@ -221,14 +225,15 @@ def forms(name: str) -> list[tuple[str, str, str, str]]:
         return []
     context, brand, given, own = r
     givens = ("edward", "theodore") if "ted" in name.split() and given == "edward" else (given,)
-    words = [skeleton(w) for w in own]
+    # Words are joined before they are spelt alike, as a name written in one word is.
+    words = [w[:-1] if len(w) > 4 and w.endswith("e") else w for w in own]
     joined = {"".join(words)}
     if len(words) == 2:
         joined.add(words[1] + words[0])
     elif len(words) == 3:
         a, b, c = words
         joined |= {a + c + b, b + a + c, b + c + a, c + a + b, c + b + a}
-    return [(context, brand, g, j) for g in givens for j in sorted(joined)]
+    return [(context, brand, g, j) for g in givens for j in sorted({skeleton(j) for j in joined})]
 
 
 FORM = ["context", "brand", "givens", "forms"]
