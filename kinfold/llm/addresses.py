@@ -215,7 +215,7 @@ def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
     building, have no row.
     """
     key = F.xxhash64(*NODE)
-    read_ = materialize(with_towns(materialize(readings(addresses), "readings")).withColumn("id", key), "readings")
+    read_ = with_towns(materialize(readings(addresses), "readings")).withColumn("id", key)
     full = (F.col("kind") != "") & ((F.col("town") != "") | (F.col("code") != ""))
     nodes = materialize(read_.filter("place = 0").groupBy("id", *NODE).agg(F.sum("n").alias("weight")).withColumn("full", full), "places")
     street = nodes.withColumns({"head": F.left("street", F.lit(2)), "tail": F.right("street", F.lit(2))})
