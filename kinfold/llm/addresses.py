@@ -1,8 +1,8 @@
-"""Postal addresses of the same building, written differently: multi-pass sorted neighbourhoods over read components.
+"""Postal addresses of the same building, written differently: keys of misspelt components and sorted neighbourhoods.
 
 An address is read as house number, street, kind of street, town and postal code; unit, floor, shop, suffixes of the house
-number, extensions of the code, regions and landmarks are left out. Distinct readings are then sorted in several component
-orders, and neighbours in each order are compared: street and town by edits and transpositions, house number and kind of
+number, extensions of the code, regions and landmarks are left out. Distinct readings then meet under keys that spellings close to each
+other share, or sorted in two component orders, and are compared: street and town by edits and transpositions, house number and kind of
 street strictly.
 """
 
@@ -181,6 +181,44 @@ def with_towns(read_: DataFrame) -> DataFrame:
     return read_.join(usual, "code", "left").withColumn("town", F.when(F.col("town") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("town"))).drop("usual")
 
 
+def _bits(text: str) -> Column:
+    """Keys of a text, one of which any text that is ``near`` it or within two edits of six and more characters has too.
+
+    Its first four and its last four characters with one left out: two edits cannot touch both ends twice where there are
+    eight characters. In the middle of shorter texts they leave two characters at either end, or the same letters.
+    """
+    def out(mark: str, part: Column) -> Column:
+        one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), lambda i: F.concat(F.lit(mark), F.left(part, i - 1), F.substring(part, i + 1, F.lit(4))))
+        return F.when(F.length(part) < 4, F.array_append(one, F.concat(F.lit(mark), part))).otherwise(one)
+
+    c = F.col(text)
+    short = F.array(F.concat(F.lit("="), F.left(c, F.lit(2)), F.right(c, F.lit(2))), F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(c, "")), "")))
+    return F.array_distinct(F.concat(out("<", F.left(c, F.lit(4))), out(">", F.right(c, F.lit(4))), F.when(F.length(c) < 8, short).otherwise(F.array().cast("array<string>"))))
+
+
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """``a, b``: ids of all nodes with one number that agree in two of street, town and code, or in one of town and code
+    with a street spelt nearly alike, or in the street with a town spelt nearly alike.
+
+    Of complete nodes that agree in street, kind, and town or code, each meets only the heaviest: all of them are
+    neighbours, and no other of them can be the heaviest neighbour of any.
+    """
+    keys = lambda kind, of, bits: F.transform(bits, lambda x: F.xxhash64(F.lit(kind), F.col("num"), F.col(of), x))
+    spelt = [("code", F.col("code") != "", "street"), ("town", F.lit(True), "street"), ("street", F.col("town") != "", "town")]
+    rows = [nodes.filter(some).select("id", "full", F.xxhash64(apart).alias("own"), F.explode(keys(of + apart, of, _bits(apart))).alias("k")) for of, some, apart in spelt]
+    # Readings that lack something meet every complete one with the same street, not only the heaviest.
+    rows += [nodes.filter(F.col(of) != "").select("id", "full", F.col("full").cast("long").alias("own"), F.xxhash64(F.lit(of), "num", of, "street").alias("k")) for of in ("code", "town")]
+    keyed = reduce(DataFrame.unionByName, rows)
+    x, y = keyed.alias("x"), keyed.alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.own") != F.col("y.own")) & (F.col("x.full") | F.col("y.full")))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    for of in ("code", "town"):
+        w = W.partitionBy("num", "street", "kind", of).orderBy(F.desc("weight"), "id")
+        hub = nodes.filter(F.col("full") & (F.col(of) != "")).select("id", F.first("id").over(w).alias("hub")).filter("id <> hub")
+        pairs = pairs.unionByName(hub.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
+    return pairs.distinct()
+
+
 def _neighbours(nodes: DataFrame, block: list[str], order: list[Column], window: int) -> DataFrame:
     """Pairs of nodes at most ``window`` apart in the order of ``order`` inside each block."""
     w = W.partitionBy(*block).orderBy(*order, "id")
@@ -208,8 +246,9 @@ def same_place() -> Column:
 def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
     """``address, country, building``: distinct addresses (columns ``address, country, n``) with the building they denote.
 
-    Passes sort by (number, code, street), (number, town, street), (number, street) and (number, street from its end), the
-    last two in blocks of two letters; every distinct reading takes part, so repeated addresses cost nothing and never
+    All readings meet that agree in one of street, town and code and are spelt nearly alike in another, however many a
+    building has. Further passes sort by (number, street) and (number, street from its end) in blocks of two letters, for
+    readings with several parts misspelt; every distinct reading takes part, so repeated addresses cost nothing and never
     fill a window. Complete readings are grouped first. A reading without its kind, or without town and code, joins a
     building only if all its neighbours agree on one; else it stays by itself. Null and empty addresses, and those of no
     building, have no row.
@@ -220,12 +259,12 @@ def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
     nodes = materialize(read_.filter("place = 0").groupBy("id", *NODE).agg(F.sum("n").alias("weight")).withColumn("full", full), "places")
     street = nodes.withColumns({"head": F.left("street", F.lit(2)), "tail": F.right("street", F.lit(2))})
     passes = [
-        (nodes.filter("code <> ''"), ["num", "code"], [F.col("street")]),
-        (nodes.filter("town <> ''"), ["num", "town"], [F.col("street")]),
         (street, ["num", "head"], [F.col("street"), F.col("town")]),
         (street, ["num", "tail"], [F.reverse("street"), F.col("town")]),
     ]
-    pairs = reduce(DataFrame.unionByName, [_neighbours(n, block, order, window).filter(same_place()) for n, block, order in passes])
+    side = lambda x: nodes.select(F.col("id").alias(x), F.struct("id", *NODE, "full", "weight").alias(f"{x}_"))
+    met = _meetings(nodes).join(side("a"), "a").join(side("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    pairs = reduce(DataFrame.unionByName, [met.filter(same_place())] + [_neighbours(n, block, order, window).filter(same_place()) for n, block, order in passes])
     edges = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.full").alias("fa"), F.col("b.full").alias("fb"))
     edges = materialize(edges.distinct(), "place_pairs")
     whole = roots(nodes.filter("full").select("id", "weight"), edges.filter("fa and fb").select("a", "b"))

@@ -1,6 +1,11 @@
 import itertools
+import random
+
+from pyspark.sql import functions as F
 
 from kinfold.llm import addresses as A
+from kinfold.llm.graph import near
+from kinfold.llm.names import edits
 
 
 def test_reading():
@@ -38,3 +43,34 @@ def test_a_street_without_town_joins_only_one_building(spark):
 
 def test_empty(spark):
     assert A.same_building(spark.createDataFrame([], "entity_id string, address string, country string")).count() == 0
+
+
+def _misspelt(word, rng):
+    i, c = rng.randrange(1, len(word) - 1), rng.choice("bdfhjnprtuz")
+    return rng.choice([word[:i] + word[i + 1 :], word[:i] + c + word[i:], word[:i] + c + word[i + 1 :]])
+
+
+def test_building_of_many_readings(spark):
+    rng = random.Random(1)
+    main = "53 dupeskin drive nuquenburg 82897"
+    rows = {main: 40} | {f"53 {s} drive {t} 82897": 1 for s, t in [("dupeskin", _misspelt("nuquenburg", rng)) for _ in range(300)] + [(_misspelt("dupeskin", rng), "nuquenburg") for _ in range(300)] if len(A.read(f"53 {s} drive {t} 82897", "us")[3]) > 7}
+    rows |= {"53 morkalet drive nuquenburg 82897": 9, "53 bantrivol drive nuquenburg 82897": 9}
+    assert len({A.read(a, "us")[1:] for a in rows}) > 200
+    out = A.buildings(spark.createDataFrame([(a, "us", n) for a, n in rows.items()], "address string, country string, n int")).collect()
+    of = {r["address"]: r["building"] for r in out}
+    others = {"53 morkalet drive nuquenburg 82897", "53 bantrivol drive nuquenburg 82897"}
+    alike = [a for a in of if a not in others and all(edits(x, y) < 2 for x, y in zip(A.read(a, "us")[1:], A.read(main, "us")[1:]))]
+    assert len(alike) > 200 and {of[a] for a in alike} == {of[main]}
+    assert len({of[a] for a in others} | {of[main]}) == 3
+
+
+def test_keys_meet_all_near(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdr") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    words = sorted({*words, *(w for x in words for w in (_misspelt(_misspelt(x + "abc", rng), rng), x + "abc", x[::-1], x[1:] + x[:1]) if w)})
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", A._bits("w").alias("keys"))
+    x, y = df.select(F.col("w").alias("v"), F.col("keys").alias("other")), df
+    loose = (F.least(F.length("v"), F.length("w")) >= 6) & (F.levenshtein("v", "w", 2) >= 0)
+    pairs = x.join(y, F.col("v") < F.col("w")).filter(near(F.col("v"), F.col("w")) | loose)
+    assert pairs.count() > 300
+    assert pairs.filter(~F.arrays_overlap("keys", "other")).collect() == []
