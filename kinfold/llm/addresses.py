@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm import lexicon as X
-from kinfold.llm.graph import near, roots
+from kinfold.llm.graph import much_rarer, near, roots
 from kinfold.llm.names import plain, skeleton
 from kinfold.session import map_columns, materialize
 
@@ -239,7 +239,7 @@ def same_place() -> Column:
     unknown = ((a("town") == "") & (a("code") == "")) | ((b("town") == "") & (b("code") == ""))
     place = town_same | (code_same & (~towns | (a("street") == b("street")))) | (code_near & ~towns) | unknown | (~towns & ~codes & ~(a("full") & b("full")))
     loose = town_same & code_same & (F.least(F.length(a("street")), F.length(b("street"))) >= 6) & (F.levenshtein(a("street"), b("street"), 2) >= 0)
-    rare = (a("street") == b("street")) | (F.least(a("weight"), b("weight")) <= 3)
+    rare = (a("street") == b("street")) | much_rarer(a("weight"), b("weight"))
     return (a("num") == b("num")) & kinds & rare & (near(a("street"), b("street")) | loose) & place
 
 

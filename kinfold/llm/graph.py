@@ -16,6 +16,15 @@ def near(a: Column, b: Column) -> Column:
     return (a == b) | close
 
 
+def much_rarer(a: Column, b: Column) -> Column:
+    """Whether of two weights one is so small beside the other that its spelling can be an error.
+
+    That is a quarter of the other at most, at any size of data; three records or fewer say nothing against an error.
+    """
+    light = F.least(a, b)
+    return (light <= 3) | (4 * light <= F.greatest(a, b))
+
+
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, root`` for ``nodes`` (id, weight) and undirected ``edges`` (a, b), written to the shared folder.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm import lexicon as X
-from kinfold.llm.graph import roots
+from kinfold.llm.graph import much_rarer, roots
 from kinfold.session import map_columns, materialize
 
 _DIGITS = str.maketrans("013456789", "oieasbtbg")
@@ -284,7 +284,7 @@ def name_groups(names: DataFrame) -> DataFrame:
     pairs = met.filter("hub <> a OR prev <> a").select("a", F.explode(F.array("hub", "prev")).alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.struct("context", "brand", "weight", "givens", "forms").alias(f"{x}_"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_.context = b_.context AND a_.brand = b_.brand")
-    rare = F.least("a_.weight", "b_.weight") <= 3
+    rare = much_rarer(F.col("a_.weight"), F.col("b_.weight"))
 
     def alike(f: Column, g: Column) -> Column:
         two, shorter = F.levenshtein(f, g, 2), F.least(F.length(f), F.length(g))

@@ -74,3 +74,12 @@ def test_keys_meet_all_near(spark):
     pairs = x.join(y, F.col("v") < F.col("w")).filter(near(F.col("v"), F.col("w")) | loose)
     assert pairs.count() > 300
     assert pairs.filter(~F.arrays_overlap("keys", "other")).collect() == []
+
+
+def test_rarity_is_relative(spark):
+    def apart(*counts):
+        rows = [(f"53 {s} drive nuquenburg 82897", "us", n) for s, n in zip(("dupeskinbarot", "dupezkinbanot"), counts)]
+        return len({r["building"] for r in A.buildings(spark.createDataFrame(rows, "address string, country string, n int")).collect()}) == 2
+
+    assert [apart(100 * k, 4 * k) for k in (1, 10)] == [False, False]
+    assert [apart(10 * k, 8 * k) for k in (1, 10)] == [True, True]

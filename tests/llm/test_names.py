@@ -51,3 +51,12 @@ def test_operator(spark):
 
 def test_empty(spark):
     assert N.same_organisation(spark.createDataFrame([], "name string, n int")).count() == 0
+
+
+def test_rarity_is_relative(spark):
+    def apart(*counts):
+        rows = list(zip(("sunbarodit express", "sunbarozif express"), counts))
+        return len({r["root"] for r in N.name_groups(spark.createDataFrame(rows, "name string, n int")).collect()}) == 2
+
+    assert [apart(30 * k, 3 * k) for k in (1, 10)] == [False, False]
+    assert [apart(10 * k, 8 * k) for k in (1, 10)] == [True, True]
