@@ -633,6 +633,14 @@ def features_edit_similarity(spark, d):
     return S.pair_features(_slim(spark, d), ascii_(_keyed(spark, d, 1)), ascii_(_cands(spark, d))).select("s1_id", "cand_id", "name_similarity")
 
 
+def features_name_similarity(spark, d):
+    """Edit similarity of all pairs, counted by character in every script; SQL that counts by byte cannot give it."""
+    return S.pair_features(_slim(spark, d), _keyed(spark, d, 1), _cands(spark, d)).select("s1_id", "cand_id", "name_similarity")
+
+
+QUERIES["features_name_similarity"] = features_name_similarity
+
+
 @query("features_agreeing", "SELECT s1_id, cand_id, CAST(" + "+".join(f"(CASE WHEN {f} THEN 1 ELSE 0 END)" for f in B.FLAGS) + " AS BIGINT) AS agreeing FROM pairs_s2")
 def features_agreeing(spark, d):
     return S.agreeing_rules(_t(spark, d, "pairs_s2"), B.FLAGS)

@@ -1,8 +1,11 @@
 import random
 
+from pyspark.sql import functions as F
+
 from kinfold.operators import classify as C
 from kinfold.operators import score as S
 from kinfold.operators import tokens as T
+from kinfold.plans import catalog
 
 
 def test_features(spark):
@@ -45,3 +48,24 @@ def test_rare_tokens(spark):
     e = spark.createDataFrame([("a", "x", "blue limited lamp shop", "limited blue lamp")], "s1_id string, cand_id string, a_name_norm string, b_name_norm string")
     f = spark.createDataFrame([("blue", 5), ("lamp", 50), ("limited", 1)], "token string, frequency long")
     assert {(r["cap"], r["hits"]) for r in T.rare_token_hits(e, f, [4, 5, 50]).collect()} == {(4, 0), (5, 1), (50, 1)}
+
+
+def test_name_similarity_of_all_pairs(spark, tmp_path):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    names = {1: ["café müller", "москва шоп", "red shop"], 2: ["cafe müler", "москва шопы"], 3: ["café muller", "red shop €", "東京 shop"]}
+    for n, own in names.items():
+        rows = [(f"S{n}-{i}", x, x, f"12 main road {x}", f"12 main road {x}", "us", "us") for i, x in enumerate(own)]
+        spark.createDataFrame(rows, "entity_id string, name string, name_norm string, address string, address_norm string, country string, country_norm string").withColumns(
+            {c: F.lit("same") for c in ("block_name_exact", "block_address_exact", "block_name_prefix5", "block_address_prefix8", "block_postal")}).write.parquet(f"{tmp_path}/train_s{n}.parquet")
+    got = {(r["s1_id"], r["cand_id"]): r["name_similarity"] for r in catalog.QUERIES["features_name_similarity"](spark, str(tmp_path)).collect()}
+    of = {f"S{n}-{i}": x for n, own in names.items() for i, x in enumerate(own)}
+    pairs = {(r["s1_id"], r["cand_id"]) for r in catalog.QUERIES["pairs_slim"](spark, str(tmp_path)).collect()}
+    assert pairs and set(got) == pairs and any(not of[a].isascii() for a, _ in pairs)
+    assert all(abs(s - (1 - edits(of[a], of[b]) / max(len(of[a]), len(of[b])))) < 1e-12 for (a, b), s in got.items())
