@@ -140,22 +140,29 @@ def judged(docs: DataFrame) -> DataFrame:
     )
     last = ends_.filter("width = 0").select("doc", "no", "before", "last")
     pairs = last.select("before", "last").distinct()
-    after = seen.filter(F.col("before").isNotNull()).join(last.select("before").distinct(), "before", "left_semi").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    # A text's own last word is no evidence that the corpus has it: stumps would count for themselves. A sentence of under
+    # five words, such as a sign-off, is evidence of its name; only the one asked about is left out after the same words.
+    minus = lambda df: df.select("before", F.col("last").alias("word"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("own"))
+    long = asked.filter("width = 6").select("doc", "no")
+    own_signed = minus(last.join(long, ["doc", "no"], "left_anti").select("before", "last").distinct())
+    followed = seen.filter(F.col("before").isNotNull()).select("before", "word", "n", F.col("n").alias("own")).unionByName(minus(last.join(long, ["doc", "no"], "left_semi")))
+    counts = F.sum("n").alias("n"), F.greatest(F.sum("own"), F.lit(0)).alias("own")
+    after = followed.unionByName(own_signed).join(last.select("before").distinct(), "before", "left_semi").groupBy("before", "word").agg(*counts)
     # Words meet ends by their beginnings: linear in the words after a context, however many ends ask for it.
     heads = lambda c, least: F.transform(F.sequence(F.lit(least), F.length(c) - 1), lambda i: F.left(c, i))
     begun = after.filter(F.length("word") > 1).select("before", F.explode(heads(F.col("word"), 1)).alias("last"), F.col("n").alias("longer"), F.lit(0).alias("same"))
-    whole = after.select("before", F.col("word").alias("last"), F.lit(0).alias("longer"), F.col("n").alias("same"))
+    whole = after.select("before", F.col("word").alias("last"), F.lit(0).alias("longer"), F.col("own").alias("same"))
     longer = (
         begun.unionByName(whole).join(pairs, ["before", "last"], "left_semi").groupBy("before", "last").agg(F.sum("longer").alias("longer"), F.sum("same").alias("same"))
-        .filter("longer >= 2 AND longer >= 5 * same - 5").select("before", "last", F.lit(True).alias("part"))
+        .filter("longer >= 2 AND longer >= 5 * same").select("before", "last", F.lit(True).alias("part"))
     )
     # A last word that the corpus hardly has, but many times as the start of longer ones, whatever stands before it.
-    vocabulary = seen.filter(F.col("before").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = followed.groupBy("word").agg(*counts)
     wanted = last.filter(F.length("last") >= 2).select("last").distinct()
     starts = vocabulary.filter(F.length("word") > 2).select(F.explode(heads(F.col("word"), 2)).alias("last"), "n")
     starts = starts.join(wanted, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("starts"))
-    own = vocabulary.select(F.col("word").alias("last"), F.col("n").alias("own"))
-    stump = starts.filter("starts >= 20").join(own, "last", "left").filter("coalesce(own, 0) <= 2").select("last", F.lit(True).alias("stump"))
+    own = vocabulary.select(F.col("word").alias("last"), "own")
+    stump = starts.filter("starts >= 20").join(own, "last", "left").filter("20 * coalesce(own, 0) <= starts").select("last", F.lit(True).alias("stump"))
     verdict = last.join(by_window, ["doc", "no"], "left").join(longer, ["before", "last"], "left").join(stump, "last", "left")
     return verdict.withColumn("cut", F.coalesce("cut", "part", "stump")).filter(F.col("cut").isNotNull()).groupBy("doc").agg(F.max("cut").alias("cut"))
 

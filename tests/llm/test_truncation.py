@@ -55,3 +55,12 @@ def test_prefix_of_a_longer_copy(spark):
 def test_empty(spark):
     assert flags(spark, []) == ({}, [])
     assert T.rates(T.truncated(spark.createDataFrame([], "doc_id long, text string, source string"))).count() == 0
+
+
+def test_stump_of_many_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abdegiklmnoprstu") for _ in range(7)) for _ in range(4000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{some(7)} zwonkerish {some(4)}.", "a") for i in range(60)] + [(100 + i, f"{some(9)} zwonk", "a") for i in range(5)] + [(200 + i, f"{some(5)} vull {some(3)} vullage {some(3)}.", "a") for i in range(60)] + [(300, f"{some(9)} vull", "a")]
+    got, _ = flags(spark, rows)
+    assert {k for k, cut in got.items() if cut} == {100, 101, 102, 103, 104}
