@@ -39,6 +39,7 @@ WIDTHS = (6, 4, 3, 2)
 #: Fewest occurrences of the words before an end that count as evidence, by width.
 LEAST = {6: 3, 4: 5, 3: 8, 2: 10}
 HEAD = 64
+SHORT = 16
 
 
 def _word(w: str) -> str:
@@ -168,14 +169,29 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """``doc``: texts that are strict prefixes, up to the middle of a word, of another text, marks of omission aside."""
+    """``doc``: texts that are strict prefixes of another text, marks of omission aside.
+
+    They end in the middle of a word, or between two words of a sentence that the other goes on with. Texts of 16 to 63
+    characters, which often are whole sentences that others go on from, count in the middle of a word only; shorter
+    ones are prefixes by chance.
+    """
     body = F.regexp_replace("text", r"\s*(\(truncated\)|\[more\]|\[\.\.\.\]|\.{3,}|…)\s*$", "")
-    texts = docs.select("doc", body.alias("body")).filter(F.length("body") >= HEAD)
-    distinct = texts.select("body").distinct()
-    w = W.partitionBy(F.xxhash64(F.left("body", F.lit(HEAD)))).orderBy("body")
-    pre = distinct.withColumn("next", F.lead("body").over(w)).filter(F.startswith("next", F.col("body")))
-    at = F.substring("next", F.length("body"), F.lit(2))
-    return texts.join(pre.filter(at.rlike(r"^\p{L}\p{L}$")).select("body"), "body", "left_semi").select("doc")
+    texts = materialize(docs.select("doc", body.alias("body")).filter(F.length("body") >= SHORT), "bodies")
+
+    def heads(pool: DataFrame, n: int) -> DataFrame:
+        w = W.partitionBy(F.xxhash64(F.left("body", F.lit(n)))).orderBy("body")
+        pre = pool.distinct().withColumn("next", F.lead("body").over(w)).filter(F.startswith("next", F.col("body")))
+        return pre.withColumns({"in_word": F.substring("next", F.length("body"), F.lit(2)).rlike(r"^\p{L}\p{L}$"), "on": F.substring("next", F.length("body") + 1, F.lit(2))})
+
+    # Not after an address of a page, which texts end with.
+    between = F.col("body").rlike(r"(^|\s)[\p{L}\p{N}'’]+[,;]? ?$") & (F.col("body").rlike(r"[\p{L}\p{N},;] $") & F.col("on").rlike(r"^[\p{Ll}\p{N}]") | F.col("body").rlike(r"[\p{L}\p{N},;]$") & F.col("on").rlike(r"^ [\p{Ll}\p{N}]$"))
+    long = heads(texts.filter(F.length("body") >= HEAD).select("body"), HEAD).filter(F.col("in_word") | between).select("body")
+    # Only the beginnings of texts that begin as a short one does are sorted with it.
+    begin = texts.withColumn("head", F.left("body", F.lit(SHORT)))
+    asked = begin.filter(F.length("body") < HEAD).select("head").distinct()
+    pool = begin.join(asked, "head", "left_semi").select(F.left("body", F.lit(HEAD + 2)).alias("body"))
+    short = heads(pool, SHORT).filter(F.length("body") < HEAD).filter("in_word").select("body")
+    return texts.join(long.unionByName(short), "body", "left_semi").select("doc")
 
 
 def truncated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

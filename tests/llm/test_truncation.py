@@ -64,3 +64,15 @@ def test_stump_of_many_texts(spark):
     rows = [(i, f"{some(7)} zwonkerish {some(4)}.", "a") for i in range(60)] + [(100 + i, f"{some(9)} zwonk", "a") for i in range(5)] + [(200 + i, f"{some(5)} vull {some(3)} vullage {some(3)}.", "a") for i in range(60)] + [(300, f"{some(9)} vull", "a")]
     got, _ = flags(spark, rows)
     assert {k for k, cut in got.items() if cut} == {100, 101, 102, 103, 104}
+
+
+def test_prefixes_of_every_kind(spark):
+    long = "Quite an unusual remark about nothing that anyone else would ever have written in this place at all"
+    other = "So" + long[2:]
+    page = "Quite another remark about nothing that anyone would ever have read at veku-ma.invalid"
+    cut = {2: long[:70], 3: other[:71], 4: long[:27] + "…", 5: long[:28]}
+    kept = {6: long[:29].rpartition(" ")[0], 7: page, 8: long[:10]}
+    docs = [(1, long), (10, other), (9, page + " today and more"), *cut.items(), *kept.items()]
+    assert long[70] == " " and long[71] != " "
+    got = {r["doc"] for r in T.prefixes(spark.createDataFrame(docs, "doc long, text string")).collect()}
+    assert got == set(cut)
