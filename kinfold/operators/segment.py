@@ -1,12 +1,13 @@
 """Several values packed in one field, split into one row per value (dictionary-guided segmentation).
 
-Delimiters and quoting are not parsed at all. Values are *found*: those of the general form by a pattern, and the
-irregular ones - which may hold a character that also serves as a delimiter - by a multi-pattern automaton over the known
-values. Where finds overlap, dynamic programming takes the cover with the most characters, then the fewest pieces, so a
-delimiter inside a known value is protected.
-
-The dictionary may be of any size: every value has an *anchor*, its part of general form, and only the dictionary values
-whose anchors occur in a list travel to that list, by an equi-join. The automaton of a batch holds just those.
+Delimiters and quoting are not parsed at all. Values are *found*: a multi-pattern automaton over the known values that can
+occur finds every whole known value, and where finds overlap, dynamic programming takes the cover with the most
+characters, then the fewest pieces, so a delimiter inside a known value is protected. The general form, a regular
+expression, is asked only where no known value was found: it gives the values that have no record.
+
+The dictionary may be of any size: every value has an *anchor*, its part of general form or else its longest run of
+letters or digits, and only the values whose anchor occurs in a list travel to that list, by an equi-join. The automaton
+of a batch holds just those.
 """
 
 from __future__ import annotations
@@ -56,40 +57,50 @@ def best_cover(finds: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def segment_text(text: str | None, pattern: re.Pattern, auto) -> list[str]:
-    """The values of one list in written order."""
+    """The values of one list in written order: the best cover by known values, and the general form in the gaps."""
     if not text:
         return []
-    finds = [m.span() for m in pattern.finditer(text)]
+    general = [m.span() for m in pattern.finditer(text)]
+    known: list[tuple[int, int]] = []
     if auto is not None:
-        starts, n = {s for s, _ in finds}, len(text)
+        starts, n = {s for s, _ in general}, len(text)
         for last, size in auto.iter(text):
             s, e = last + 1 - size, last + 1
-            if e == n or e in starts or not text[e].isalnum():
-                if s == 0 or s in starts or not text[s - 1].isalnum():
-                    finds.append((s, e))
-    return [text[s:e] for s, e in best_cover(finds)]
+            if (e == n or e in starts or not text[e].isalnum()) and (s == 0 or s in starts or not text[s - 1].isalnum()):
+                known.append((s, e))
+    found = best_cover(known)
+    if found != general:
+        at, gaps = 0, []
+        for s, e in general:
+            while at < len(found) and found[at][1] <= s:
+                at += 1
+            if at == len(found) or e <= found[at][0]:
+                gaps.append((s, e))
+        found = sorted(found + gaps)
+    return [text[s:e] for s, e in found]
 
 
 def segment(lists: DataFrame, keys: list[str], packed: str, dictionary: DataFrame, pattern: str) -> DataFrame:
     """One row ``keys, pos, value`` per value of ``packed``; ``pos`` (int) counts from 1 in written order.
 
-    ``pattern`` is the general form, a regular expression that Java and Python read alike; ``dictionary`` has one column
-    of known values. Null, empty and value-free texts give no rows; repeated values keep a row each; rows of ``lists``
-    with equal keys and text count once; other columns are ignored; dictionary nulls and repeats do no harm. A list is
-    handled whole in one task, however long.
+    ``dictionary`` has one column of known values, of any form; ``pattern`` is the general form of values that may have no
+    record, a regular expression that Java and Python read alike. Null, empty and value-free texts give no rows; repeated
+    values keep a row each; rows of ``lists`` with equal keys and text count once; other columns are ignored; dictionary
+    nulls, repeats and values without a letter or digit do no harm. A list is handled whole in one task, however long.
     """
     lists = lists.select(*keys, F.col(packed).alias("packed_")).filter(F.col("packed_").isNotNull()).distinct()
-    known = dictionary.select(F.col(dictionary.columns[0]).alias("value_")).filter(F.col("value_").isNotNull())
-    known = known.withColumn("anchor_", F.regexp_extract("value_", pattern, 0))
-    known = known.filter((F.col("anchor_") != "") & (F.col("anchor_") != F.col("value_"))).distinct()
+    known = dictionary.select(F.col(dictionary.columns[0]).alias("value_")).filter(F.col("value_") != "").distinct()
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
+    longest = F.array_max(F.transform(runs("value_"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    own = F.regexp_extract("value_", pattern, 0)
+    known = known.withColumns({"formed_": own != "", "anchor_": F.when(own != "", own).otherwise(longest)}).filter(F.col("anchor_").isNotNull())
+    # Runs of letters and digits are looked up only if there are values without the general form, and from their least length on.
+    least = known.filter("NOT formed_").agg(F.min(F.length("anchor_")).alias("n")).scalar()
     row = F.xxhash64(*keys, "packed_")
-    found = lists.select(*keys, "packed_", F.explode(F.array_distinct(F.regexp_extract_all("packed_", F.lit(f"({pattern})"), F.lit(1)))).alias("anchor_"))
-    needed = (
-        found.select(row.alias("row_"), "anchor_")
-        .join(known, "anchor_")
-        .groupBy("row_")
-        .agg(F.collect_set("value_").alias("known_"))
-    )
+    forms = F.regexp_extract_all("packed_", F.lit(f"({pattern})"), F.lit(1))
+    other = F.when(F.col("least_").isNull(), F.array().cast("array<string>")).otherwise(F.filter(runs("packed_"), lambda x: F.length(x) >= F.col("least_")))
+    found = lists.withColumn("least_", least).select(row.alias("row_"), F.explode(F.array_distinct(F.concat(forms, other))).alias("anchor_"))
+    needed = found.join(known.select("anchor_", "value_"), "anchor_").groupBy("row_").agg(F.collect_set("value_").alias("known_"))
     lists = lists.withColumn("row_", row).join(needed, "row_", "left")
     names = [f.name for f in lists.select(*keys).schema.fields]
 
@@ -98,8 +109,7 @@ def segment(lists: DataFrame, keys: list[str], packed: str, dictionary: DataFram
         for pdf in batches:
             auto = automaton({v for k in pdf["known_"] if k is not None for v in k})
             out = pdf[names].copy()
-            # A list without irregular values of its own needs no automaton.
-            out["values_"] = [segment_text(t, compiled, auto if k is not None else None) for t, k in zip(pdf["packed_"], pdf["known_"])]
+            out["values_"] = [segment_text(t, compiled, auto) for t in pdf["packed_"]]
             yield out
 
     fields = ", ".join(f"`{n}` {lists.schema[n].dataType.simpleString()}" for n in names)

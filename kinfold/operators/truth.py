@@ -1,13 +1,30 @@
-"""Packed ground truth: comma-joined id lists as links."""
+"""Packed ground truth: lists of ids as links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.operators.segment import segment
+
+#: Fixed value. General form of an id.
+ID_FORM = "S[0-9]+-[0-9]+"
+
+
+def read_links(truth: DataFrame, ids: DataFrame, left: str = "source1_entity_id", packed: str = "matched_entity_ids") -> DataFrame:
+    """Links ``s1_id, cand_id``: every id of the packed lists, however they are delimited or quoted, repeats kept once.
+
+    ``ids`` (one column) are the ids of all records; ids without a record are links too. Null and id-free lists give none.
+    """
+    found = segment(truth, [left], packed, ids, ID_FORM)
+    return found.select(F.col(left).alias("s1_id"), F.col("value").alias("cand_id")).distinct()
+
 
 def parse_links(truth: DataFrame, left: str = "source1_entity_id", packed: str = "matched_entity_ids") -> DataFrame:
-    """Links ``s1_id, cand_id``: split at commas, trimmed, empty pieces dropped, repeats kept once."""
+    """Links ``s1_id, cand_id`` of well-formed lists: split at commas, trimmed, empty pieces dropped, repeats kept once.
+
+    For exploration only: where lists have other delimiters or quotes the pieces are no ids; ``read_links`` reads those.
+    """
     pieces = F.explode(F.split(packed, ",", -1))
     return (
         truth.select(F.col(left).alias("s1_id"), pieces.alias("raw"))

@@ -44,3 +44,21 @@ def test_operator(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, packed string")
     assert G.segment(df, ["id"], "packed", spark.createDataFrame([], "v string"), "S[0-9]+-[0-9]+").count() == 0
+
+
+def test_known_values_of_no_general_form(spark):
+    """The automaton finds what the pattern alone cannot: delimiters and spaces inside values, and values of any form."""
+    known = ["ACME; Sons", "ACME", "a|b", "S3-7,2", "S3-70", "--"]
+    rows = [("a", "ACME; Sons;ACME,S3-7,2|S3-7"), ("b", "a|b|ACMEX|S3-700"), ("c", "x, y")]
+    df = spark.createDataFrame(rows, "id string, packed string")
+    got = G.segment(df, ["id"], "packed", spark.createDataFrame([(x,) for x in known], "v string"), "S[0-9]+-[0-9]+").orderBy("id", "pos").collect()
+    assert [(r["id"], r["value"]) for r in got] == [("a", "ACME; Sons"), ("a", "ACME"), ("a", "S3-7,2"), ("a", "S3-7"), ("b", "a|b"), ("b", "S3-700")]
+    assert FORM.findall(rows[0][1]) == ["S3-7", "S3-7"]
+
+
+def test_links_of_lists_in_any_writing(spark):
+    from kinfold.operators import truth as L
+
+    t = spark.createDataFrame([("a", "['S2-1', 'S3-7,2']"), ("a", "S2-1|S2-9"), ("b", None), ("c", "n/a")], "source1_entity_id string, matched_entity_ids string")
+    ids = spark.createDataFrame([("S2-1",), ("S3-7,2",), ("S3-7,2",)], "entity_id string")
+    assert sorted(map(tuple, L.read_links(t, ids).collect())) == [("a", "S2-1"), ("a", "S2-9"), ("a", "S3-7,2")]
