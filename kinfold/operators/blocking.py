@@ -25,23 +25,12 @@ KEYS = list(dict.fromkeys(k for r in RULES for k in r[1:3]))
 
 
 def keyed(records: DataFrame) -> DataFrame:
-    """One narrow row per entity with all rule keys; entities delivered twice are taken once."""
-    cols = ["entity_id", "country_norm", "name_norm", "address_norm", "block_name_exact", "block_address_exact", "block_name_prefix5", "block_address_prefix8", "block_postal"]
-    return K.with_selective_keys(records.select(*cols).dropDuplicates(["entity_id"]))
+    """One row per entity with all rule keys; entities delivered twice, with equal normalised fields, are taken once.
 
-
-def equal(left: Column, right: Column) -> Column:
-    """FALSE where the left key is null, NULL where only the right one is."""
-    return left.isNotNull() & (left == right)
-
-
-def flag_columns(left: str = "a", right: str = "b") -> list[Column]:
-    """The seven flags over two aliased keyed tables; a flag of two joins is their disjunction."""
-    out = []
-    for flag in FLAGS:
-        terms = [equal(F.col(f"{left}.{l}"), F.col(f"{right}.{r}")) for _, l, r, f in RULES if f == flag]
-        out.append(reduce(lambda x, y: x | y, terms).alias(flag))
-    return out
+    Only the id and the normalised fields travel to the deduplication, a hash aggregate; keys are derived after it.
+    """
+    one = records.select("entity_id", "country_norm", "name_norm", "address_norm").distinct()
+    return K.with_selective_keys(K.with_block_keys(one))
 
 
 def rule_pairs(a: DataFrame, b: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -51,12 +40,13 @@ def rule_pairs(a: DataFrame, b: DataFrame, left_key: str, right_key: str) -> Dat
     return l.join(r, "key").select("s1_id", "cand_id").distinct()
 
 
-def _long(t: DataFrame, side: int, id_name: str) -> DataFrame:
-    """(rule, key hash input, id): one row per rule whose key is present."""
+def _long(t: DataFrame, side: int, id_name: str, present: str) -> DataFrame:
+    """(id, presence bits of all rules, rule, key): one row per rule whose key is present."""
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r[side]).alias("key")) for i, r in enumerate(RULES)])
+    bits = sum((F.when(F.col(r[side]).isNotNull(), 1 << i).otherwise(0) for i, r in enumerate(RULES)), F.lit(0))
     return (
-        t.select(F.col("entity_id").alias(id_name), F.explode(F.filter(rules, lambda x: x["key"].isNotNull())).alias("x"))
-        .select(id_name, "x.rule", "x.key")
+        t.select(F.col("entity_id").alias(id_name), bits.alias(present), F.explode(F.filter(rules, lambda x: x["key"].isNotNull())).alias("x"))
+        .select(id_name, present, "x.rule", "x.key")
     )
 
 
@@ -64,20 +54,25 @@ def generate_pairs(a: DataFrame, b: DataFrame, source: str, null_flags: bool = T
     """All distinct pairs that share the key of at least one rule, with source and flags.
 
     The rules are unpivoted, so one equi-join on (rule, key) replaces an OR of equalities, which would plan as a
-    product. Hot keys are left to AQE's skew handling. With ``null_flags`` the flags are recomputed from both records
-    and three-valued; without, they are read from the mask of fired rules, two-valued, and no further join is needed.
+    product. Which keys each record has travels along as bits, so both kinds of flags follow from bits without reading a
+    record again: with ``null_flags`` a rule is FALSE where the left key is null, NULL where only the right one is, else
+    whether it fired; without, whether it fired. A flag of two rules is their disjunction. Hot keys are split by AQE; the
+    pairs of a key are all wanted, so ``measure.pair_volume`` should be asked for their number first.
     """
-    pairs = (
-        _long(a, 1, "s1_id").join(_long(b, 2, "cand_id"), ["rule", "key"])
-        .groupBy("s1_id", "cand_id")
-        .agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"))
-    )
-    src = F.lit(source).alias("cand_source")
+    left, right = ("la", "lb") if null_flags else ("_la", "_lb")
+    long_a, long_b = _long(a, 1, "s1_id", left), _long(b, 2, "cand_id", right)
     if not null_flags:
-        masks = {f: sum(1 << i for i, r in enumerate(RULES) if r[3] == f) for f in FLAGS}
-        return pairs.select("s1_id", "cand_id", src, *[(F.col("mask").bitwiseAND(F.lit(m)) != 0).alias(f) for f, m in masks.items()])
-    wide = pairs.join(a.alias("a"), F.col("s1_id") == F.col("a.entity_id")).join(b.alias("b"), F.col("cand_id") == F.col("b.entity_id"))
-    return wide.select("s1_id", "cand_id", src, *flag_columns())
+        long_a, long_b = long_a.drop(left), long_b.drop(right)
+    aggs = [F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), *([F.bit_or(left).alias(left), F.bit_or(right).alias(right)] if null_flags else [])]
+    pairs = long_a.join(long_b, ["rule", "key"]).groupBy("s1_id", "cand_id").agg(*aggs)
+    on = lambda bits, i: bits.bitwiseAND(F.lit(1 << i)) != 0
+
+    def fired(i: int) -> Column:
+        hit = on(F.col("mask"), i)
+        return F.when(~on(F.col(left), i), False).when(~on(F.col(right), i), F.lit(None).cast("boolean")).otherwise(hit) if null_flags else hit
+
+    flags = [reduce(lambda x, y: x | y, [fired(i) for i, r in enumerate(RULES) if r[3] == f]).alias(f) for f in FLAGS]
+    return pairs.select("s1_id", "cand_id", F.lit(source).alias("cand_source"), *flags)
 
 
 def pack(pairs: DataFrame, s1: DataFrame) -> DataFrame:

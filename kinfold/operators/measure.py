@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def eval_table(links: DataFrame, s1: DataFrame, cand: DataFrame, columns: list[str]) -> DataFrame:
-    """True links with ``columns`` of both records as ``a_*`` and ``b_*``: two id joins, no many-to-many join."""
+def eval_table(links: DataFrame, s1: DataFrame, cand: DataFrame, columns: list[str], stray: bool = False) -> DataFrame:
+    """True links with ``columns`` of both records as ``a_*`` and ``b_*``: two id joins, no many-to-many join.
+
+    With ``stray`` links that point at no candidate record stay, with nulls.
+    """
     a = s1.select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"a_{c}") for c in columns])
     b = cand.select(F.col("entity_id").alias("cand_id"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    return links.join(a, "s1_id").join(b, "cand_id")
+    return links.join(a, "s1_id").join(b, "cand_id", "left" if stray else "inner")
 
 
 def same(key: str, other: str | None = None) -> Column:
@@ -50,15 +53,18 @@ def pair_volume(a: DataFrame, b: DataFrame, left: str, right: str | None = None)
     return ha.join(hb, "k").agg(F.coalesce(F.sum(product), F.lit(0)).cast("long").alias("pairs"))
 
 
-def distribution(df: DataFrame, column: str, tails: tuple[int, ...] = (100, 1000, 10000, 100000)) -> DataFrame:
-    """Count, sum, mean, exact interpolated percentiles, maximum and tail counts of a numeric column.
+def distribution(df: DataFrame, column: str, tails: tuple[int, ...] = (100, 1000, 10000, 100000), by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Count, sum, mean, exact interpolated percentiles, maximum and tail counts of a numeric column, for each of ``by``.
 
-    Equal values are counted first, so the percentile state holds one counter per distinct value.
+    Equal values are counted first, so the percentile state holds one counter per distinct value. ``weight`` is a column
+    of how many entities a row stands for.
     """
-    w = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    by = by or []
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    w = df.groupBy(*by, F.col(column).alias("v")).agg(rows.alias("w")).filter("w > 0")
     v, n = F.col("v"), F.col("w")
     total = F.sum(v * n).cast("long")
-    return w.agg(
+    return w.groupBy(*by).agg(
         F.sum(n).cast("long").alias("entities"), total.alias("total"), (total / F.sum(n)).alias("mean"),
         *[F.percentile(v, F.lit(p), n).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.95, 0.99)],
         F.max(v).cast("long").alias("largest"), F.sum(F.when(v == 0, n).otherwise(0)).cast("long").alias("zero"),
@@ -81,12 +87,36 @@ def buckets(df: DataFrame, column: str) -> DataFrame:
 
 
 def candidate_counts(s1: DataFrame, s2: DataFrame, s3: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates per left entity and source by one (composite) key: histogram first, then a left join."""
-    out = s1.select("entity_id", *keys)
-    for name, t in (("s2_cands", s2), ("s3_cands", s3)):
-        out = out.join(histogram(t, *keys).withColumnRenamed("cnt", name), keys, "left")
-    c2, c3 = F.coalesce("s2_cands", F.lit(0)), F.coalesce("s3_cands", F.lit(0))
-    return out.select("entity_id", c2.alias("s2_cands"), c3.alias("s3_cands"), (c2 + c3).alias("total_cands"))
+    """Candidates per left entity and source by one (composite) key.
+
+    One histogram of both sources, one left join; rows without a key take no part in it and have none.
+    """
+    tagged = s2.select(*keys, F.lit(2).alias("src")).unionByName(s3.select(*keys, F.lit(3).alias("src")))
+    present = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    sizes = tagged.filter(present).groupBy(*keys).agg(F.count_if(F.col("src") == 2).alias("c2"), F.count_if(F.col("src") == 3).alias("c3"))
+    c2, c3 = F.coalesce("c2", F.lit(0)), F.coalesce("c3", F.lit(0))
+    counted = s1.filter(present).join(sizes, keys, "left").select("entity_id", c2.alias("s2_cands"), c3.alias("s3_cands"))
+    without = s1.filter(~present).select("entity_id", F.lit(0).cast("long").alias("s2_cands"), F.lit(0).cast("long").alias("s3_cands"))
+    return counted.unionByName(without).withColumn("total_cands", F.col("s2_cands") + F.col("s3_cands"))
+
+
+def cross_counts(s1: DataFrame, s2: DataFrame, s3: DataFrame, one: str, two: str) -> DataFrame:
+    """``entity_id, upper_bound, exact``: candidates whose key ``one`` is the entity's ``two`` or the other way round.
+
+    ``upper_bound`` counts a candidate that matches both ways twice; ``exact`` takes off those, counted by both keys at
+    once. Histograms of all three kinds are unpivoted and joined once; no pair is made, and null keys do not travel.
+    """
+    def kinds(first: str, second: str) -> Column:
+        both = F.when(F.col(first).isNotNull() & F.col(second).isNotNull(), F.xxhash64(first, second))
+        of = [(0, F.xxhash64(first), F.col(first).isNotNull(), 1), (1, F.xxhash64(second), F.col(second).isNotNull(), 1), (2, both, both.isNotNull(), -1)]
+        rows = F.array(*[F.struct(F.lit(i).alias("kind"), F.when(ok, k).alias("k"), F.lit(sign).alias("sign")) for i, k, ok, sign in of])
+        return F.filter(rows, lambda x: x["k"].isNotNull())
+
+    cand = s2.select(one, two).unionByName(s3.select(one, two)).select(F.inline(kinds(two, one)))
+    sizes = cand.groupBy("kind", "k", "sign").agg(F.count(F.lit(1)).alias("n"))
+    hits = s1.select("entity_id", F.inline(kinds(one, two))).drop("sign").join(sizes, ["kind", "k"]).select("entity_id", "sign", "n")
+    all_ = hits.unionByName(s1.select("entity_id", F.lit(1).alias("sign"), F.lit(0).cast("long").alias("n")))
+    return all_.groupBy("entity_id").agg(F.sum(F.when(F.col("sign") > 0, F.col("n")).otherwise(0)).alias("upper_bound"), F.sum(F.col("sign") * F.col("n")).alias("exact"))
 
 
 def block_stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,18 +139,42 @@ def block_frequency(tables: dict[str, DataFrame], key: str) -> DataFrame:
     )
 
 
-def capped(freq: DataFrame, evaluated: DataFrame, key: str, base: Column, caps: list[int]) -> DataFrame:
-    """Recall and volume of a key limited to blocks of at most T rows, for two meanings of the size, all T at once.
+#: Two meanings of the size of a block: the largest of any source, and the larger of the two candidate sources.
+CAPS = {"symmetric": lambda: F.col("max_cnt"), "candidate": lambda: F.greatest("s2_cnt", "s3_cnt")}
+
+
+def _rows(names: dict[str, dict[int, dict[str, Column]]]) -> Column:
+    return F.inline(F.array(*[F.struct(F.lit(n).alias("cap_kind"), F.lit(t).alias("cap"), *[c.alias(k) for k, c in of.items()]) for n, by in names.items() for t, of in by.items()]))
 
-    ``symmetric`` limits the largest single-source block, ``candidate`` the larger of the two candidate sources.
+
+def capped(freq: DataFrame, evaluated: DataFrame, key: str, exact: Column, base: Column, caps: list[int]) -> DataFrame:
+    """Recall and volume of a key limited to blocks of at most T rows, for both meanings of the size, all T at once.
+
+    ``hits`` are links the capped rule recovers (``s2_hits``, ``s3_hits`` by ``target_source``), ``new_hits`` those that
+    ``exact`` does not have, ``with_exact`` and ``with_base`` those of the union; ``pairs`` is the volume by source.
     """
-    sizes = {"symmetric": F.col("max_cnt"), "candidate": F.greatest("s2_cnt", "s3_cnt")}
     hit = same(key)
-    links = evaluated.join(freq.select(F.col("block_key").alias(f"a_{key}"), "s2_cnt", "s3_cnt", "max_cnt"), f"a_{key}", "left")
-    pairs = F.col("s1_cnt") * (F.col("s2_cnt") + F.col("s3_cnt"))
-    cases = [(n, t, size <= t) for n, size in sizes.items() for t in caps]
-    hits = links.agg(*[F.count_if(hit & p).alias(f"h{i}") for i, (_, _, p) in enumerate(cases)], *[F.count_if(hit & p & ~F.coalesce(base, F.lit(False))).alias(f"n{i}") for i, (_, _, p) in enumerate(cases)])
-    vols = freq.agg(*[F.coalesce(F.sum(F.when(p, pairs)), F.lit(0)).cast("long").alias(f"v{i}") for i, (_, _, p) in enumerate(cases)])
-    rows = F.array(*[F.struct(F.lit(n).alias("cap_kind"), F.lit(t).alias("cap"), F.col(f"h{i}").alias("hits"), F.col(f"n{i}").alias("new_hits"), F.col(f"v{i}").alias("pairs")) for i, (n, t, _) in enumerate(cases)])
-    one = F.lit(1).alias("one")
-    return hits.withColumn("one", one).join(vols.withColumn("one", one), "one").select(F.inline(rows))
+    sizes = freq.select(F.col("block_key").alias(f"a_{key}"), "s2_cnt", "s3_cnt", "max_cnt")
+    known = evaluated.filter(F.col(f"a_{key}").isNotNull()).join(sizes, f"a_{key}", "left")
+    links = known.unionByName(evaluated.filter(F.col(f"a_{key}").isNull()), allowMissingColumns=True)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    recovered = {(n, t): yes(hit & (size() <= t)) for n, size in CAPS.items() for t in caps}
+    kinds = {"hits": lambda r: r, "s2_hits": lambda r: r & (F.col("target_source") == "S2"), "s3_hits": lambda r: r & (F.col("target_source") == "S3"),
+             "new_hits": lambda r: r & ~yes(exact), "with_exact": lambda r: r | yes(exact), "with_base": lambda r: r | yes(base)}
+    hits = links.agg(*[F.count_if(f(r)).alias(f"{k}_{n}_{t}") for (n, t), r in recovered.items() for k, f in kinds.items()])
+    volumes = {"s2_pairs": F.col("s1_cnt") * F.col("s2_cnt"), "s3_pairs": F.col("s1_cnt") * F.col("s3_cnt")}
+    vols = freq.agg(*[F.coalesce(F.sum(F.when(size() <= t, v)), F.lit(0)).cast("long").alias(f"{k}_{n}_{t}") for n, size in CAPS.items() for t in caps for k, v in volumes.items()])
+    h = hits.select(_rows({n: {t: {k: F.col(f"{k}_{n}_{t}") for k in kinds} for t in caps} for n in CAPS}))
+    v = vols.select(_rows({n: {t: {k: F.col(f"{k}_{n}_{t}") for k in volumes} for t in caps} for n in CAPS}))
+    return h.join(v, ["cap_kind", "cap"]).withColumn("pairs", F.col("s2_pairs") + F.col("s3_pairs"))
+
+
+def capped_distribution(freq: DataFrame, s1: DataFrame, key: str, caps: list[int]) -> DataFrame:
+    """Distribution of candidates per left row for each cap, from block sizes alone: a block stands for its left rows.
+
+    Left rows without a key, or of a block above the cap, have no candidates.
+    """
+    within = F.array(*[F.struct(F.lit(n).alias("cap_kind"), F.lit(t).alias("cap"), F.when(size() <= t, F.col("s2_cnt") + F.col("s3_cnt")).otherwise(0).alias("cands")) for n, size in CAPS.items() for t in caps])
+    rows = freq.filter("s1_cnt > 0").select(F.col("s1_cnt").alias("n"), F.inline(within))
+    none = s1.agg(F.count_if(F.col(key).isNull()).alias("n")).select("n", F.inline(F.array(*[F.struct(F.lit(n).alias("cap_kind"), F.lit(t).alias("cap"), F.lit(0).cast("long").alias("cands")) for n in CAPS for t in caps])))
+    return distribution(rows.unionByName(none), "cands", by=["cap_kind", "cap"], weight="n")

@@ -36,14 +36,17 @@ def agreeing_rules(pairs: DataFrame, flags: list[str]) -> DataFrame:
 
 
 def label_pairs(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Positive where the pair is a true link, else a hard negative."""
+    """Positive where the pair is a true link, else a hard negative. A NaN ``score`` is no score: null."""
+    if "score" in pairs.columns:
+        pairs = pairs.withColumn("score", F.nullif("score", F.lit(float("nan"))))
     t = links.select("s1_id", "cand_id", F.lit(True).alias("is_match"))
     return pairs.join(t, ["s1_id", "cand_id"], "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
 
 
 def split_by_entity(df: DataFrame, id_column: str, folds: int) -> DataFrame:
-    """Adds ``fold``; all rows of one entity fall into one fold, in any session."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(id_column), F.lit(folds)).cast("int"))
+    """Adds ``fold`` by a portable hash of the entity (32 bits of its MD5): all its rows fall into one fold, in any engine."""
+    bits = F.conv(F.left(F.md5(id_column), F.lit(8)), 16, 10).cast("long")
+    return df.withColumn("fold", F.pmod(bits, F.lit(folds)).cast("int"))
 
 
 def macro_f05(predicted: DataFrame, links: DataFrame, s1: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from kinfold.operators import score as S
 from kinfold.operators import segment as G
 from kinfold.operators import tokens as T
 from kinfold.operators import truth as L
-from kinfold.session import scratch_path
+from kinfold.session import materialize, scratch_path
 from kinfold.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,15 @@ def _keyed(spark: SparkSession, d: str, n: int) -> DataFrame:
     return B.keyed(_t(spark, d, f"train_s{n}"))
 
 
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of all records, repeated ones included."""
+    one, two, three = (_t(spark, d, f"train_s{n}").select("entity_id") for n in (1, 2, 3))
+    return one.unionByName(two).unionByName(three)
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return L.parse_links(_t(spark, d, "train_matches"))
+    """The true links, read from the packed lists and written once for all readers of a query."""
+    return materialize(L.read_links(_t(spark, d, "train_matches"), _ids(spark, d)), "links")
 
 
 def _cands(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +63,14 @@ def _cands(spark: SparkSession, d: str) -> DataFrame:
 EVAL = ["country_norm", "name_norm", "address_norm", "addr_num", "w1", "w2", "block_name_prefix5", "block_address_prefix8", "block_postal", *[k for k in B.KEYS]]
 
 
-def _eval(spark: SparkSession, d: str) -> DataFrame:
-    return M.eval_table(_links(spark, d), _keyed(spark, d, 1), _cands(spark, d), list(dict.fromkeys(EVAL)))
+def _eval(spark: SparkSession, d: str, links: DataFrame, columns: list[str] = EVAL, stray: bool = False) -> DataFrame:
+    """True links with columns of both records; only records that some link names are deduplicated and keyed."""
+    def side(n: int, id_name: str) -> DataFrame:
+        named = links.select(F.col(id_name).alias("entity_id")).distinct()
+        return B.keyed(_t(spark, d, f"train_s{n}").join(named, "entity_id", "left_semi"))
+
+    cand = side(2, "cand_id").unionByName(side(3, "cand_id"))
+    return M.eval_table(links, side(1, "s1_id"), cand, list(dict.fromkeys(columns)), stray)
 
 
 def _e(n: int) -> str:
@@ -74,8 +87,25 @@ def _e(n: int) -> str:
 
 
 E_ALL = f"WITH e1 AS ({_e(1)}), e2 AS ({_e(2)}), e3 AS ({_e(3)})"
-GT = """gt AS (SELECT DISTINCT s1_id, trim(x) AS cand_id FROM (SELECT source1_entity_id AS s1_id, unnest(string_split(matched_entity_ids, ',')) AS x
- FROM train_matches) WHERE trim(x) <> '')"""
+_IDS = "SELECT entity_id FROM train_s1 UNION SELECT entity_id FROM train_s2 UNION SELECT entity_id FROM train_s3"
+
+
+def _packed_sql(lists: str) -> str:
+    """SQL of the ids of packed lists (``table_name, source1_entity_id, t``): ids by their form, with a suffix where a record has it."""
+    form, ids = "S[0-9]+-[0-9]+", f"ids AS ({_IDS}), lists AS ({lists})"
+    suffix = {False: "([,;|][0-9A-Za-z]+)?", True: "([,;|][0-9A-RT-Za-z][0-9A-Za-z]*)?"}  # a list may put S right after a delimiter
+
+    def some(directly: bool) -> str:
+        found = f"regexp_extract_all(t, '{form}{suffix[directly]}')"
+        test = "(contains(t, '|S') OR contains(t, ',S') OR contains(t, ';S'))"
+        return f"""SELECT DISTINCT table_name, source1_entity_id, CAST(pos AS INTEGER) AS pos, CASE WHEN v IN (SELECT entity_id FROM ids) THEN v ELSE regexp_extract(v, '{form}', 0) END AS entity_id
+ FROM (SELECT table_name, source1_entity_id, unnest({found}) AS v, generate_subscripts({found}, 1) AS pos FROM lists WHERE t IS NOT NULL AND {'' if directly else 'NOT '}{test})"""
+
+    return f"WITH {ids} {some(False)} UNION {some(True)}"
+
+
+GT = f"""gt AS (SELECT DISTINCT source1_entity_id AS s1_id, entity_id AS cand_id FROM
+ ({_packed_sql("SELECT 'train_matches' AS table_name, source1_entity_id, matched_entity_ids AS t FROM train_matches")}))"""
 EV = f"""{E_ALL}, {GT}, c AS (SELECT * FROM e2 UNION ALL SELECT * FROM e3),
  ev AS (SELECT gt.s1_id, gt.cand_id, {', '.join(f'a.{x} AS a_{x}, b.{x} AS b_{x}' for x in dict.fromkeys(EVAL))}
  FROM gt JOIN e1 a ON a.entity_id = gt.s1_id JOIN c b ON b.entity_id = gt.cand_id)"""
@@ -91,24 +121,61 @@ def _recall_sql(rules: dict[str, str], source: str = "ev", pre: str = "") -> str
 
 @query("src_tsv_quoted", "SELECT entity_id, business_name, business_address, country FROM train_s1")
 def src_tsv_quoted(spark, d):
-    return _tsv(spark, _t(spark, d, "train_s1").select("entity_id", "business_name", "business_address", "country"), io.S.SOURCE)
+    return _tsv(spark, _t(spark, d, "train_s1").select("entity_id", "business_name", "business_address", "country"), io.S.SOURCE, multi_line=True)
 
 
-def _tsv(spark: SparkSession, df: DataFrame, schema) -> DataFrame:
+def _tsv(spark: SparkSession, df: DataFrame, schema, **how) -> DataFrame:
     path = scratch_path(spark, "tsv")
     io.write_tsv(df, path)
-    return io.read_tsv(spark, path, schema)
+    return io.read_tsv(spark, path, schema, **how)
 
 
 @query("src_tsv_truth", "SELECT source1_entity_id, nullif(matched_entity_ids, '') AS matched_entity_ids FROM train_matches")
 def src_tsv_truth(spark, d):
-    return _tsv(spark, _t(spark, d, "train_matches"), io.S.TRUTH)
+    """The packed lists hold tabs and line breaks, so they are read as one whole."""
+    return _tsv(spark, _t(spark, d, "train_matches"), io.S.TRUTH, multi_line=True)
+
+
+_PLAIN_SQL = "SELECT entity_id, nullif(name_norm, '') AS business_name, nullif(address_norm, '') AS business_address, nullif(country_norm, '') AS country FROM train_s2"
+
+
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "train_s2").select("entity_id", F.col("name_norm").alias("business_name"), F.col("address_norm").alias("business_address"), F.col("country_norm").alias("country"))
+
+
+@query("src_tsv_unquoted", _PLAIN_SQL)
+def src_tsv_unquoted(spark, d):
+    """Written and read without any quoting."""
+    path = scratch_path(spark, "tsv")
+    io.write_tsv(_plain(spark, d), path, quote=None)
+    return io.read_tsv(spark, path, quote=None)
+
+
+@query("src_key_lines", "SELECT entity_id AS source1_entity_id, coalesce(block_postal, '') AS matched_entity_ids FROM train_s3")
+def src_key_lines(spark, d):
+    """Lines split at their first tab."""
+    path = scratch_path(spark, "lines")
+    io.write_tsv(_t(spark, d, "train_s3").select(F.col("entity_id").alias("source1_entity_id"), F.coalesce("block_postal", F.lit("")).alias("matched_entity_ids")), path, quote=None)
+    return io.read_key_lines(spark, path)
 
 
-@query("src_describe", """SELECT CAST(0 AS INTEGER) AS position, 'source1_entity_id' AS column_name, 'string' AS column_type
- UNION ALL SELECT 1, 'matched_entity_ids', 'string'""")
+@query("src_parquet_sink", "SELECT * FROM aggregated_candidates")
+def src_parquet_sink(spark, d):
+    path = scratch_path(spark, "parquet")
+    io.write_parquet(_t(spark, d, "aggregated_candidates"), path)
+    return spark.read.parquet(path)
+
+
+@query("src_views", "SELECT s.country_norm, count(*) AS rows, count(m.matched_entity_ids) AS lists FROM train_s1 s LEFT JOIN train_matches m ON m.source1_entity_id = s.entity_id GROUP BY 1")
+def src_views(spark, d):
+    io.register(spark, {"kinfold_s1": _t(spark, d, "train_s1"), "kinfold_matches": _t(spark, d, "train_matches")})
+    return spark.sql("SELECT s.country_norm, count(*) AS rows, count(m.matched_entity_ids) AS lists FROM kinfold_s1 s LEFT JOIN kinfold_matches m ON m.source1_entity_id = s.entity_id GROUP BY 1")
+
+
+@query("src_describe", """SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+ WHEN 'INTEGER' THEN 'int' END AS column_type FROM information_schema.columns WHERE table_name = 'mix_targets'""")
 def src_describe(spark, d):
-    return io.describe(_t(spark, d, "train_matches"))
+    return io.describe(_t(spark, d, "mix_targets"))
 
 
 _NORM_SQL = r"""SELECT {id} AS id, lower(trim({country})) AS country_norm,
@@ -128,12 +195,23 @@ for _n in (1, 2, 3):
     _norm(_n)
 
 
-@query("fn_scalars", """SELECT entity_id, regexp_extract(address_norm,'[0-9]+',0) AS first_number, regexp_extract(address_norm,'[0-9]{5,6}',0) AS postal,
+def _each(make) -> str:
+    """UNION ALL of the same SQL over the three record tables."""
+    return " UNION ALL ".join(make(f"train_s{n}") for n in (1, 2, 3))
+
+
+def _records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    one, two, three = (_t(spark, d, f"train_s{n}").select(F.lit(f"train_s{n}").alias("table_name"), *columns) for n in (1, 2, 3))
+    return one.unionByName(two).unionByName(three)
+
+
+@query("fn_scalars", _each(lambda t: f"""SELECT '{t}' AS table_name, entity_id, regexp_extract(address_norm,'[0-9]+',0) AS first_number, regexp_extract(address_norm,'[0-9]{{5,6}}',0) AS postal,
  split_part(name_norm,' ',1) AS word1, split_part(name_norm,' ',3) AS word3, length(name_norm) AS name_length, substr(address_norm,1,8) AS address_prefix,
- len(string_split(address_norm,' ')) AS address_words FROM train_s3""")
+ len(string_split(address_norm,' ')) AS address_words FROM {t}"""))
 def fn_scalars(spark, d):
     a, n = F.col("address_norm"), F.col("name_norm")
-    return _t(spark, d, "train_s3").select("entity_id", X.first_number(a).alias("first_number"), X.postal(a).alias("postal"), X.word(n, 1).alias("word1"), X.word(n, 3).alias("word3"),
+    return _records(spark, d, "entity_id", "name_norm", "address_norm").select(
+        "table_name", "entity_id", X.first_number(a).alias("first_number"), X.postal(a).alias("postal"), X.word(n, 1).alias("word1"), X.word(n, 3).alias("word3"),
         F.length(n).cast("long").alias("name_length"), F.substring(a, 1, 8).alias("address_prefix"), F.size(F.split(a, " ", -1)).cast("long").alias("address_words"))
 
 
@@ -163,23 +241,37 @@ for _n in (1, 2, 3):
 _PREFIXES = [("name_prefix6", "name_norm", 6), ("name_prefix7", "name_norm", 7), ("name_prefix8", "name_norm", 8), ("addr_prefix10", "address_norm", 10), ("addr_prefix12", "address_norm", 12), ("addr_prefix14", "address_norm", 14)]
 
 
-@query("keys_prefixes", "SELECT entity_id, " + ", ".join(f"CASE WHEN length({c})>={n} THEN country_norm||'|'||substr({c},1,{n}) END AS {k}" for k, c, n in _PREFIXES) + " FROM train_s2")
+_PREFIX_SQL = ", ".join(f"CASE WHEN length({c})>={n} THEN country_norm||'|'||substr({c},1,{n}) END AS {k}" for k, c, n in _PREFIXES)
+
+
+@query("keys_prefixes", _each(lambda t: f"SELECT '{t}' AS table_name, entity_id, {_PREFIX_SQL} FROM {t}"))
 def keys_prefixes(spark, d):
-    return _t(spark, d, "train_s2").select("entity_id", *[K.prefix_key(c, n).alias(k) for k, c, n in _PREFIXES])
+    return _records(spark, d, "entity_id", "country_norm", "name_norm", "address_norm").select("table_name", "entity_id", *[K.prefix_key(c, n).alias(k) for k, c, n in _PREFIXES])
 
 
 # ---------------------------------------------------------------- truth and exploration
 
 @query("gt_links", f"WITH {GT} SELECT s1_id, cand_id FROM gt")
 def gt_links(spark, d):
-    return _links(spark, d)
+    return L.read_links(_t(spark, d, "train_matches"), _ids(spark, d))
+
+
+@query("gt_comma_links", """SELECT DISTINCT s1_id, trim(x) AS cand_id FROM (SELECT source1_entity_id AS s1_id, unnest(string_split(matched_entity_ids, ',')) AS x FROM train_matches)
+ WHERE trim(x) <> ''""")
+def gt_comma_links(spark, d):
+    """What a parser that knows commas only makes of the lists: pieces, some of them no ids."""
+    return L.parse_links(_t(spark, d, "train_matches"))
 
 
 @query("gt_sources", f"""WITH {GT}, ids AS (SELECT DISTINCT entity_id, 'S2' AS src FROM train_s2 UNION ALL SELECT DISTINCT entity_id, 'S3' FROM train_s3)
  SELECT s1_id, cand_id, coalesce(src,'UNKNOWN') AS target_source FROM gt LEFT JOIN ids ON cand_id = entity_id""")
 def gt_sources(spark, d):
+    return _sourced(spark, d, _links(spark, d))
+
+
+def _sourced(spark: SparkSession, d: str, links: DataFrame) -> DataFrame:
     ids = lambda n: _t(spark, d, f"train_s{n}").select("entity_id").distinct()
-    return L.with_source(_links(spark, d), ids(2), ids(3))
+    return L.with_source(links, ids(2), ids(3))
 
 
 @query("eda_rows", " UNION ALL ".join(f"""SELECT 'train_s{n}' AS table_name, count(*) AS rows, count(CASE WHEN business_name IS NULL OR trim(business_name)='' THEN 1 END) AS no_name,
@@ -192,9 +284,10 @@ def eda_rows(spark, d):
     return one(1).unionByName(one(2)).unionByName(one(3))
 
 
-@query("eda_countries", "SELECT country, count(*) AS rows FROM train_s1 GROUP BY country ORDER BY rows DESC, country")
+@query("eda_countries", " UNION ALL ".join(f"SELECT 'train_s{n}' AS table_name, country, count(*) AS rows FROM train_s{n} GROUP BY country" for n in (1, 2, 3)))
 def eda_countries(spark, d):
-    return _t(spark, d, "train_s1").groupBy("country").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "country")
+    one = lambda n: _t(spark, d, f"train_s{n}").select(F.lit(f"train_s{n}").alias("table_name"), "country")
+    return one(1).unionByName(one(2)).unionByName(one(3)).groupBy("table_name", "country").agg(F.count(F.lit(1)).alias("rows")).orderBy("table_name", F.desc("rows"), "country")
 
 
 @query("eda_match_counts", """SELECT n_matches, count(*) AS rows FROM (SELECT CASE WHEN coalesce(matched_entity_ids,'')='' THEN 0
@@ -217,9 +310,9 @@ def _rule(i: int):
     name, l, r, _ = B.RULES[i]
 
     def run(spark, d):
-        return B.rule_pairs(_keyed(spark, d, 1), _keyed(spark, d, 2), l, r)
+        return B.rule_pairs(_keyed(spark, d, 1), _cands(spark, d), l, r)
 
-    query(f"rule_{name}", f"WITH e1 AS ({_e(1)}), e2 AS ({_e(2)}) SELECT DISTINCT e1.entity_id AS s1_id, e2.entity_id AS cand_id FROM e1 JOIN e2 ON e1.{l} = e2.{r}")(run)
+    query(f"rule_{name}", f"{E_ALL}, c AS (SELECT * FROM e2 UNION ALL SELECT * FROM e3) SELECT DISTINCT e1.entity_id AS s1_id, c.entity_id AS cand_id FROM e1 JOIN c ON e1.{l} = c.{r}")(run)
 
 
 for _n in range(len(B.RULES)):
@@ -251,9 +344,15 @@ _MASK_FLAGS = ", ".join(f"""bool_or({' OR '.join(f"rule='{r[0]}'" for r in B.RUL
 _RULED = " UNION ALL ".join(f"SELECT '{n}' AS rule, e1.entity_id AS s1_id, c.entity_id AS cand_id FROM e1 JOIN c ON e1.{l} = c.{r}" for n, l, r, _ in B.RULES)
 
 
-@query("pairs_fired_s2", f"WITH e1 AS ({_e(1)}), c AS ({_e(2)}), p AS ({_RULED}) SELECT s1_id, cand_id, 'S2' AS cand_source, {_MASK_FLAGS} FROM p GROUP BY s1_id, cand_id")
-def pairs_fired_s2(spark, d):
-    return B.generate_pairs(_keyed(spark, d, 1), _keyed(spark, d, 2), "S2", null_flags=False)
+def _fired(n: int):
+    def run(spark, d):
+        return B.generate_pairs(_keyed(spark, d, 1), _keyed(spark, d, n), f"S{n}", null_flags=False)
+
+    query(f"pairs_fired_s{n}", f"WITH e1 AS ({_e(1)}), c AS ({_e(n)}), p AS ({_RULED}) SELECT s1_id, cand_id, 'S{n}' AS cand_source, {_MASK_FLAGS} FROM p GROUP BY s1_id, cand_id")(run)
+
+
+_fired(2)
+_fired(3)
 
 
 def _slim(spark: SparkSession, d: str) -> DataFrame:
@@ -276,6 +375,15 @@ def candidates_packed(spark, d):
     return B.pack(_slim(spark, d), _t(spark, d, "train_s1"))
 
 
+@query("src_tsv_delivery", f"""{E_ALL}, {_SLIM} SELECT e1.entity_id AS source1_entity_id, string_agg(cand_id, ',' ORDER BY cand_id) AS candidate_entity_ids
+ FROM e1 LEFT JOIN pairs ON s1_id = entity_id GROUP BY e1.entity_id""")
+def src_tsv_delivery(spark, d):
+    """The packed candidates as one ordered file, read again."""
+    path = f"{scratch_path(spark, 'delivery')}.tsv"
+    io.deliver_tsv(candidates_packed(spark, d), path, ["source1_entity_id"])
+    return io.read_tsv(spark, path, io.S.CANDIDATES)
+
+
 @query("audit_counts", f"""{E_ALL}, {_SLIM}, n AS (SELECT e1.entity_id, count(CASE WHEN cand_source='S2' THEN 1 END) AS s2_cands, count(CASE WHEN cand_source='S3' THEN 1 END) AS s3_cands,
  count(cand_id) AS total_cands FROM e1 LEFT JOIN pairs ON s1_id = entity_id GROUP BY e1.entity_id) SELECT * FROM n""")
 def audit_counts(spark, d):
@@ -304,8 +412,9 @@ def audit_recall(spark, d):
     return links.join(_slim(spark, d), ["s1_id", "cand_id"]).agg(F.count(F.lit(1)).alias("hits")).select("hits", n.alias("total_links")).withColumn("recall", F.col("hits") / F.nullif("total_links", F.lit(0)))
 
 
-@query("audit_validation", f"""{E_ALL}, {_SLIM}, {GT} SELECT (SELECT count(*) FROM e1) AS rows, (SELECT count(*) FROM e1) AS entities, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS missing,
- (SELECT count(*) FROM gt LEFT JOIN pairs p ON p.s1_id = gt.s1_id AND p.cand_id = gt.cand_id WHERE p.s1_id IS NULL) AS stray_matches""")
+@query("audit_validation", f"""{E_ALL}, {_SLIM}, {GT}, packed AS (SELECT e1.entity_id AS id, string_agg(cand_id, ',') AS ids FROM e1 LEFT JOIN pairs ON s1_id = entity_id GROUP BY 1)
+ SELECT (SELECT count(*) FROM packed) AS rows, (SELECT count(DISTINCT entity_id) FROM train_s1) AS entities, (SELECT count(*) FROM (SELECT id FROM packed GROUP BY id HAVING count(*) > 1)) AS repeated,
+ (SELECT count(DISTINCT entity_id) FROM train_s1 WHERE entity_id NOT IN (SELECT id FROM packed)) AS missing, (SELECT count(*) FROM gt LEFT JOIN pairs p ON p.s1_id = gt.s1_id AND p.cand_id = gt.cand_id WHERE p.s1_id IS NULL) AS stray_matches""")
 def audit_validation(spark, d):
     p, s1 = _slim(spark, d), _t(spark, d, "train_s1")
     return S.validate(B.pack(p, s1), s1, _links(spark, d), p)
@@ -330,7 +439,7 @@ def _rules() -> tuple[dict, dict]:
     names = {"exact_name": ["K1"], "exact_address": ["K2"], "name_prefix5": ["K3"], "address_prefix8": ["K4"], "postal": ["K5"], "addr_name5": ["K6"], "cross_word": ["XA", "XB"], "addr_w2": ["K8"], "post_addr": ["K9"],
              "post_name4": ["K10"], "exact_baseline": ["K1", "K2"], "combined_no_name_prefix": ["K1", "K2", "K4", "K5"], "safe_baseline": ["K1", "K2", "K3"], "baseline": ["K1", "K2", "K3", "K4"],
              "selective_123": ["K1", "K2", "K6"], "selective_1234": ["K1", "K2", "K6", "K10"], "selective_all": ["K1", "K2", "K6", "K10", "K8"], "base_plus_name5": ["K1", "K2", "K3", "K4", "K6"], "base_plus_cross": ["K1", "K2", "K3", "K4", "XA", "XB"],
-             "base_plus_all": ["K1", "K2", "K3", "K4", "XA", "XB", "K9", "K10", "K8"], "practical_123": ["K1", "K2", "K6"], "practical_1234": ["K1", "K2", "K6", "XA", "XB"], "practical_12345": ["K1", "K2", "K6", "XA", "XB", "K9"],
+             "base_plus_cross_post": ["K1", "K2", "K3", "K4", "XA", "XB", "K9"], "base_plus_all": ["K1", "K2", "K3", "K4", "XA", "XB", "K9", "K10", "K8"], "practical_123": ["K1", "K2", "K6"], "practical_1234": ["K1", "K2", "K6", "XA", "XB"], "practical_12345": ["K1", "K2", "K6", "XA", "XB", "K9"],
              "practical_union": ["K1", "K2", "K6", "XA", "XB", "K9", "K10", "K8"]}
     cols = _Rules({n: (lambda ks=ks: M.any_of(*[M.same(*eq[k]) for k in ks])) for n, ks in names.items()})
     sql = {n: " OR ".join(f"a_{eq[k][0]} = b_{eq[k][1]}" for k in ks) for n, ks in names.items()}
@@ -342,7 +451,20 @@ RULE_COLS, RULE_SQL = _rules()
 
 @query("recall_rules", _recall_sql(RULE_SQL))
 def recall_rules(spark, d):
-    return M.recall(_eval(spark, d), RULE_COLS, _links(spark, d))
+    links = _links(spark, d)
+    return M.recall(_eval(spark, d, links), RULE_COLS, links)
+
+
+_PREFIX_RULES = {k: f"a_country_norm = b_country_norm AND length(a_{c}) >= {n} AND substr(a_{c},1,{n}) = substr(b_{c},1,{n})" for k, c, n in _PREFIXES}
+
+
+@query("recall_prefixes", _recall_sql(_PREFIX_RULES))
+def recall_prefixes(spark, d):
+    """Recall of longer prefixes of name and address, a row for each length."""
+    links = _links(spark, d)
+    first = lambda c, n: F.substring(c, 1, n)
+    rules = {k: (F.col("a_country_norm") == F.col("b_country_norm")) & (F.length(f"a_{c}") >= n) & (first(f"a_{c}", n) == first(f"b_{c}", n)) for k, c, n in _PREFIXES}
+    return M.recall(_eval(spark, d, links, ["country_norm", "name_norm", "address_norm"]), rules, links)
 
 
 _NEW = [n for n in ("addr_name5", "cross_word", "addr_w2", "post_addr", "post_name4")]
@@ -352,7 +474,8 @@ _NEW = [n for n in ("addr_name5", "cross_word", "addr_w2", "post_addr", "post_na
 def recall_incremental(spark, d):
     base = RULE_COLS["baseline"]
     two = F.coalesce(base, F.lit(False))
-    return M.recall(_eval(spark, d), {n: ~base & RULE_COLS[n] for n in _NEW} | {f"{n}_two_valued": ~two & RULE_COLS[n] for n in _NEW}, _links(spark, d))
+    links = _links(spark, d)
+    return M.recall(_eval(spark, d, links), {n: ~base & RULE_COLS[n] for n in _NEW} | {f"{n}_two_valued": ~two & RULE_COLS[n] for n in _NEW}, links)
 
 
 def _hypothesis_columns() -> dict:
@@ -381,14 +504,15 @@ _MISSES = f", misses AS (SELECT * FROM ev WHERE NOT ({RULE_SQL['baseline']}))"
 
 @query("recall_missed_links", _recall_sql(HYP_SQL | {"missed": "true"}, "misses", _MISSES))
 def recall_missed_links(spark, d):
-    return M.recall(_eval(spark, d).filter(~RULE_COLS["baseline"]), _hypothesis_columns() | {"missed": F.lit(True)}, _links(spark, d))
+    links = _links(spark, d)
+    return M.recall(_eval(spark, d, links).filter(~RULE_COLS["baseline"]), _hypothesis_columns() | {"missed": F.lit(True)}, links)
 
 
 @query("missed_samples", f"{EV} SELECT s1_id, cand_id, a_name_norm, b_name_norm, a_address_norm, b_address_norm FROM ev WHERE NOT ({RULE_SQL['exact_name']} OR {RULE_SQL['exact_address']} OR {RULE_SQL['addr_name5']}) ORDER BY s1_id, cand_id LIMIT 20")
 def missed_samples(spark, d):
     """A report of twenty missed links, in order of their ids."""
     r = RULE_COLS
-    return _eval(spark, d).filter(~(r["exact_name"] | r["exact_address"] | r["addr_name5"])).select("s1_id", "cand_id", "a_name_norm", "b_name_norm", "a_address_norm", "b_address_norm").orderBy("s1_id", "cand_id").limit(20)
+    return _eval(spark, d, _links(spark, d)).filter(~(r["exact_name"] | r["exact_address"] | r["addr_name5"])).select("s1_id", "cand_id", "a_name_norm", "b_name_norm", "a_address_norm", "b_address_norm").orderBy("s1_id", "cand_id").limit(20)
 
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP) + ")"
@@ -401,7 +525,8 @@ _TOK = f"len({_COMMON.format(_STOP)})>0"
 def recall_tokens(spark, d):
     tok = T.shares_token(F.col("a_name_norm"), F.col("b_name_norm"))
     on = lambda p: F.startswith(F.col("cand_id"), F.lit(p))
-    return M.recall(_eval(spark, d), {"token": tok, "token_s2": on("S2-") & tok, "token_s3": on("S3-") & tok, "baseline_or_token": RULE_COLS["baseline"] | tok}, _links(spark, d))
+    links = _links(spark, d)
+    return M.recall(_eval(spark, d, links), {"token": tok, "token_s2": on("S2-") & tok, "token_s3": on("S3-") & tok, "baseline_or_token": RULE_COLS["baseline"] | tok}, links)
 
 
 _FREQ = """freq AS (SELECT token, count(*) AS frequency FROM (SELECT DISTINCT entity_id, unnest(string_split(name_norm,' ')) AS token FROM
@@ -428,7 +553,7 @@ def token_rarest(spark, d):
 @query("recall_rare_tokens", f"{EV}, {_FREQ}, r AS (SELECT s1_id, cand_id, min(frequency) AS rarest FROM (SELECT s1_id, cand_id, unnest({_COMMON.format(_STOP_RARE)}) AS token FROM ev) JOIN freq USING (token) GROUP BY s1_id, cand_id) "
        + " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS cap, count(CASE WHEN rarest<={t} THEN 1 END) AS hits FROM r" for t in _CAPS))
 def recall_rare_tokens(spark, d):
-    return T.rare_token_hits(_eval(spark, d), _freq(spark, d), _CAPS)
+    return T.rare_token_hits(_eval(spark, d, _links(spark, d), ["name_norm"]), _freq(spark, d), _CAPS)
 
 
 _NUMS = {"both_empty": "a_addr_num='' AND b_addr_num=''", "raw_equal": "a_addr_num=b_addr_num", "equal_numbers": "a_addr_num<>'' AND a_addr_num=b_addr_num", "different": "a_addr_num<>'' AND b_addr_num<>'' AND a_addr_num<>b_addr_num", "one_sided": "(a_addr_num='') <> (b_addr_num='')"}
@@ -437,15 +562,27 @@ _NUMS = {"both_empty": "a_addr_num='' AND b_addr_num=''", "raw_equal": "a_addr_n
 @query("recall_address_numbers", _recall_sql(_NUMS))
 def recall_address_numbers(spark, d):
     a, b = F.col("a_addr_num"), F.col("b_addr_num")
-    return M.recall(_eval(spark, d), {"both_empty": (a == "") & (b == ""), "raw_equal": a == b, "equal_numbers": (a != "") & (a == b), "different": (a != "") & (b != "") & (a != b), "one_sided": (a == "") != (b == "")}, _links(spark, d))
+    links = _links(spark, d)
+    return M.recall(_eval(spark, d, links, ["addr_num"]), {"both_empty": (a == "") & (b == ""), "raw_equal": a == b, "equal_numbers": (a != "") & (a == b), "different": (a != "") & (b != "") & (a != b), "one_sided": (a == "") != (b == "")}, links)
+
+
+_SOURCED = f"""src AS (SELECT DISTINCT entity_id, 'S2' AS src FROM train_s2 UNION ALL SELECT DISTINCT entity_id, 'S3' FROM train_s3),
+ es AS (SELECT gt.s1_id, gt.cand_id, coalesce(src, 'UNKNOWN') AS target_source, {', '.join(f'a.{x} AS a_{x}, b.{x} AS b_{x}' for x in dict.fromkeys(EVAL))}
+ FROM gt JOIN e1 a ON a.entity_id = gt.s1_id LEFT JOIN c b ON b.entity_id = gt.cand_id LEFT JOIN src ON src.entity_id = gt.cand_id)"""
+_BY_SOURCE = {"key_hits": "addr_name5", "baseline_hits": "baseline", "union_hits": "base_plus_name5", "practical_hits": "practical_union"}
+_TALLY = "count(*) AS links, " + ", ".join(f"count(CASE WHEN {RULE_SQL[r]} THEN 1 END) AS {k}" for k, r in _BY_SOURCE.items())
+
+
+def _eval_sourced(spark: SparkSession, d: str) -> DataFrame:
+    """All true links of known S1 records, those that point at no record included, with their source."""
+    return _eval(spark, d, _sourced(spark, d, _links(spark, d)), stray=True)
 
 
-@query("recall_by_source", f"""{EV}, t AS (SELECT substr(cand_id,1,2) AS target_source, ({RULE_SQL['baseline']}) AS b, ({RULE_SQL['practical_union']}) AS p FROM ev)
- SELECT target_source, count(*) AS links, count(CASE WHEN b THEN 1 END) AS baseline_hits, count(CASE WHEN p THEN 1 END) AS practical_hits FROM t GROUP BY target_source
- UNION ALL SELECT 'TOTAL', count(*), count(CASE WHEN b THEN 1 END), count(CASE WHEN p THEN 1 END) FROM t""")
+@query("recall_by_source", f"{EV}, {_SOURCED} SELECT target_source, {_TALLY} FROM es GROUP BY target_source UNION ALL SELECT 'TOTAL', {_TALLY} FROM es")
 def recall_by_source(spark, d):
-    t = _eval(spark, d).select(F.substring("cand_id", 1, 2).alias("src"), RULE_COLS["baseline"].alias("b"), RULE_COLS["practical_union"].alias("p"))
-    return t.rollup("src").agg(F.count(F.lit(1)).alias("links"), F.count_if("b").alias("baseline_hits"), F.count_if("p").alias("practical_hits")).select(F.coalesce("src", F.lit("TOTAL")).alias("target_source"), "links", "baseline_hits", "practical_hits")
+    """Links, and links found by a key, the baseline, both and the practical union, by source; UNKNOWN links point at no record."""
+    counts = [F.count_if(RULE_COLS[r]).alias(k) for k, r in _BY_SOURCE.items()]
+    return _eval_sourced(spark, d).rollup("target_source").agg(F.count(F.lit(1)).alias("links"), *counts).withColumn("target_source", F.coalesce("target_source", F.lit("TOTAL")))
 
 
 # ---------------------------------------------------------------- volume
@@ -540,17 +677,38 @@ def volume_number_top20(spark, d):
     return _number_counts(spark, d).select("entity_id", "total_cands").orderBy(F.desc("total_cands"), "entity_id").limit(20)
 
 
-_XC = f"""{E_ALL}, x AS (SELECT e1.entity_id, """ + ", ".join(f"coalesce({h}.c,0) AS {h}" for h in ("a2", "b2", "a3", "b3")) + " FROM e1 " + " ".join(
-    f"LEFT JOIN (SELECT {r} AS k, count(*) AS c FROM e{n} WHERE {r} IS NOT NULL GROUP BY 1) {h} ON e1.{l} = {h}.k" for h, n, l, r in (("a2", 2, "k_addr_w1", "k_addr_w2"), ("b2", 2, "k_addr_w2", "k_addr_w1"), ("a3", 3, "k_addr_w1", "k_addr_w2"), ("b3", 3, "k_addr_w2", "k_addr_w1"))) + ")"
+_XPAIRS = f"""{E_ALL}, c AS (SELECT * FROM e2 UNION ALL SELECT * FROM e3), xa AS (SELECT e1.entity_id, c.entity_id AS cand_id FROM e1 JOIN c ON e1.k_addr_w1 = c.k_addr_w2),
+ xb AS (SELECT e1.entity_id, c.entity_id AS cand_id FROM e1 JOIN c ON e1.k_addr_w2 = c.k_addr_w1),
+ n AS (SELECT e1.entity_id, coalesce(u.n, 0) AS upper_bound, coalesce(x.n, 0) AS exact FROM e1 LEFT JOIN (SELECT entity_id, count(*) AS n FROM (SELECT * FROM xa UNION ALL SELECT * FROM xb) GROUP BY 1) u USING (entity_id)
+ LEFT JOIN (SELECT entity_id, count(*) AS n FROM (SELECT * FROM xa UNION SELECT * FROM xb) GROUP BY 1) x USING (entity_id))"""
 
 
-@query("volume_cross_word", f"{_XC}, n AS (SELECT entity_id, a2+b2+a3+b3 AS upper_bound FROM x) SELECT {_DIST.format('upper_bound')} FROM n")
+def _cross_counts(spark: SparkSession, d: str) -> DataFrame:
+    return M.cross_counts(_keyed(spark, d, 1), _keyed(spark, d, 2), _keyed(spark, d, 3), "k_addr_w1", "k_addr_w2")
+
+
+@query("volume_cross_word", f"{_XPAIRS} SELECT {_DIST.format('upper_bound')} FROM n")
 def volume_cross_word(spark, d):
     """Distribution of cross-word candidates; a pair that matches in both directions counts twice (an upper bound)."""
-    out = _keyed(spark, d, 1).select("entity_id", "k_addr_w1", "k_addr_w2")
-    for h, n, l, r in (("a2", 2, "k_addr_w1", "k_addr_w2"), ("b2", 2, "k_addr_w2", "k_addr_w1"), ("a3", 3, "k_addr_w1", "k_addr_w2"), ("b3", 3, "k_addr_w2", "k_addr_w1")):
-        out = out.join(M.histogram(_keyed(spark, d, n), r).select(F.col(r).alias(l), F.col("cnt").alias(h)), l, "left")
-    return M.distribution(out.select(sum((F.coalesce(h, F.lit(0)) for h in ("a2", "b2", "a3", "b3")), F.lit(0)).alias("upper_bound")), "upper_bound")
+    return M.distribution(_cross_counts(spark, d), "upper_bound")
+
+
+@query("volume_cross_word_exact", f"{_XPAIRS} SELECT {_DIST.format('exact')} FROM n")
+def volume_cross_word_exact(spark, d):
+    """Distribution of distinct cross-word candidates, counted without making a pair."""
+    return M.distribution(_cross_counts(spark, d), "exact")
+
+
+_K6 = f"""{E_ALL}, h2 AS (SELECT k_addr_name5 AS k, count(*) AS c FROM e2 WHERE k_addr_name5 IS NOT NULL GROUP BY 1), h3 AS (SELECT k_addr_name5 AS k, count(*) AS c FROM e3 WHERE k_addr_name5 IS NOT NULL GROUP BY 1),
+ n AS (SELECT coalesce(h2.c, 0) AS s2_cands, coalesce(h3.c, 0) AS s3_cands, coalesce(h2.c, 0) + coalesce(h3.c, 0) AS total_cands FROM e1 LEFT JOIN h2 ON h2.k = k_addr_name5 LEFT JOIN h3 ON h3.k = k_addr_name5)"""
+
+
+@query("volume_addr_name5", f"{_K6} " + " UNION ALL ".join(f"SELECT '{c}' AS scope, {_DIST.format(c)} FROM n" for c in ("s2_cands", "s3_cands", "total_cands")))
+def volume_addr_name5(spark, d):
+    """Distribution of candidates by house number and name prefix, by source and in total."""
+    n = M.candidate_counts(*[_keyed(spark, d, i) for i in (1, 2, 3)], ["k_addr_name5"])
+    scopes = F.inline(F.array(*[F.struct(F.lit(c).alias("scope"), F.col(c).alias("cands")) for c in ("s2_cands", "s3_cands", "total_cands")]))
+    return M.distribution(n.select(scopes), "cands", by=["scope"])
 
 
 @query("volume_postal_number", f"""{E_ALL}, n AS (SELECT e1.entity_id, coalesce(x.c,0)+coalesce(y.c,0) AS total_cands FROM e1 LEFT JOIN (SELECT k_post_addr AS k, count(*) AS c FROM e2 WHERE k_post_addr IS NOT NULL GROUP BY 1) x ON e1.k_post_addr = x.k
@@ -590,18 +748,35 @@ def block_frequency(spark, d):
 _BCAPS = [25, 50, 100, 250]
 
 
+_CAP_SQL = {"symmetric": "max_cnt", "candidate": "greatest(s2_cnt,s3_cnt)"}
+
+
 def _capped_sql() -> str:
-    j = "ev LEFT JOIN bf ON ev.a_block_name_prefix5 = bf.block_key"
-    hit = "a_block_name_prefix5 = b_block_name_prefix5"
-    return f"{EV}, {_BF} " + " UNION ALL ".join(
-        f"""SELECT '{n}' AS cap_kind, CAST({t} AS INTEGER) AS cap, (SELECT count(*) FROM {j} WHERE {hit} AND {s}<={t}) AS hits,
- (SELECT count(*) FROM {j} WHERE {hit} AND {s}<={t} AND NOT coalesce({RULE_SQL['exact_baseline']}, false)) AS new_hits, (SELECT CAST(coalesce(sum(s1_cnt*(s2_cnt+s3_cnt)),0) AS BIGINT) FROM bf WHERE {s}<={t}) AS pairs"""
-        for n, s in (("symmetric", "max_cnt"), ("candidate", "greatest(s2_cnt,s3_cnt)")) for t in _BCAPS)
+    yes = lambda n: f"coalesce({RULE_SQL[n]}, false)"
+
+    def one(kind: str, size: str, t: int) -> str:
+        hit = f"coalesce(a_block_name_prefix5 = b_block_name_prefix5 AND {size} <= {t}, false)"
+        count = lambda p: f"(SELECT count(*) FROM es LEFT JOIN bf ON es.a_block_name_prefix5 = bf.block_key WHERE {p})"
+        volume = lambda v: f"(SELECT CAST(coalesce(sum({v}),0) AS BIGINT) FROM bf WHERE {size} <= {t})"
+        on = lambda src: f"{hit} AND target_source = '{src}'"
+        return f"""SELECT '{kind}' AS cap_kind, CAST({t} AS INTEGER) AS cap, {count(hit)} AS hits, {count(on('S2'))} AS s2_hits, {count(on('S3'))} AS s3_hits, {count(f'{hit} AND NOT {yes("exact_baseline")}')} AS new_hits,
+ {count(f'{hit} OR {yes("exact_baseline")}')} AS with_exact, {count(f'{hit} OR {yes("baseline")}')} AS with_base, {volume('s1_cnt*s2_cnt')} AS s2_pairs, {volume('s1_cnt*s3_cnt')} AS s3_pairs, {volume('s1_cnt*(s2_cnt+s3_cnt)')} AS pairs"""
+
+    return f"{EV}, {_SOURCED}, {_BF} " + " UNION ALL ".join(one(k, v, t) for k, v in _CAP_SQL.items() for t in _BCAPS)
 
 
 @query("block_capped", _capped_sql())
 def block_capped(spark, d):
-    return M.capped(_bfreq(spark, d), _eval(spark, d), "block_name_prefix5", RULE_COLS["exact_baseline"], _BCAPS)
+    """Recall, recall of the unions and volume of name prefixes in blocks of limited size."""
+    return M.capped(_bfreq(spark, d), _eval_sourced(spark, d), "block_name_prefix5", RULE_COLS["exact_baseline"], RULE_COLS["baseline"], _BCAPS)
+
+
+@query("block_capped_distribution", f"WITH {_BF} " + " UNION ALL ".join(
+    f"""SELECT '{k}' AS cap_kind, CAST({t} AS INTEGER) AS cap, {_DIST.format('cands')} FROM (SELECT CASE WHEN {v} <= {t} THEN s2_cnt + s3_cnt ELSE 0 END AS cands FROM train_s1 LEFT JOIN bf ON block_name_prefix5 = block_key)"""
+    for k, v in _CAP_SQL.items() for t in _BCAPS))
+def block_capped_distribution(spark, d):
+    """Candidates per S1 row under each cap."""
+    return M.capped_distribution(_bfreq(spark, d), _t(spark, d, "train_s1"), "block_name_prefix5", _BCAPS)
 
 
 # ---------------------------------------------------------------- features and scores
@@ -610,7 +785,6 @@ _W = "list_filter(list_distinct(string_split({0},' ')), lambda t: t<>'')"
 _PN = "list_distinct(regexp_extract_all({0},'[0-9]+'))"
 _SW = "list_filter(" + _W + ", lambda t: NOT regexp_matches(t,'^[0-9]+$'))"
 _FEAT = f"""SELECT s1_id, cand_id, cand_source,
- CASE WHEN greatest(length(n1),length(n2))=0 THEN 1.0 ELSE 1.0 - levenshtein(n1,n2)/CAST(greatest(length(n1),length(n2)) AS DOUBLE) END AS name_similarity,
  CASE WHEN len(list_distinct(list_concat({_W.format('n1')},{_W.format('n2')})))=0 THEN 0.0 ELSE len(list_intersect({_W.format('n1')},{_W.format('n2')}))/CAST(len(list_distinct(list_concat({_W.format('n1')},{_W.format('n2')}))) AS DOUBLE) END AS name_jaccard,
  len(list_intersect({_W.format('n1')},{_W.format('n2')})) AS name_overlap,
  CASE WHEN greatest(length(n1),length(n2))=0 THEN 0.0 ELSE least(length(n1),length(n2))/CAST(greatest(length(n1),length(n2)) AS DOUBLE) END AS name_length_ratio,
@@ -621,32 +795,23 @@ _FEAT = f"""SELECT s1_id, cand_id, cand_source,
  FROM (SELECT s1_id, cand_id, cand_source, a.name_norm AS n1, a.address_norm AS a1, b.name_norm AS n2, b.address_norm AS a2 FROM pairs JOIN e1 a ON a.entity_id=s1_id JOIN c b ON b.entity_id=cand_id)"""
 
 
-@query("features_pairs", f"{E_ALL}, {_SLIM} SELECT * EXCLUDE (name_similarity) FROM ({_FEAT})")
+@query("features_pairs", f"{E_ALL}, {_SLIM} {_FEAT}")
 def features_pairs(spark, d):
     return S.pair_features(_slim(spark, d), _keyed(spark, d, 1), _cands(spark, d)).drop("name_similarity")
 
 
-@query("features_edit_similarity", f"{E_ALL}, {_SLIM} SELECT s1_id, cand_id, name_similarity FROM ({_FEAT}) WHERE s1_id IN (SELECT entity_id FROM e1 WHERE name_norm = regexp_replace(name_norm,'[^ -~]','','g')) AND cand_id IN (SELECT entity_id FROM c WHERE name_norm = regexp_replace(name_norm,'[^ -~]','','g'))")
-def features_edit_similarity(spark, d):
-    """Edit similarity of pairs with ASCII names (engines count the edits of other letters by byte or by character)."""
-    ascii_ = lambda t: t.filter(~F.col("name_norm").rlike("[^ -~]"))
-    return S.pair_features(_slim(spark, d), ascii_(_keyed(spark, d, 1)), ascii_(_cands(spark, d))).select("s1_id", "cand_id", "name_similarity")
-
-
+@query("features_name_similarity")
 def features_name_similarity(spark, d):
     """Edit similarity of all pairs, counted by character in every script; SQL that counts by byte cannot give it."""
     return S.pair_features(_slim(spark, d), _keyed(spark, d, 1), _cands(spark, d)).select("s1_id", "cand_id", "name_similarity")
 
 
-QUERIES["features_name_similarity"] = features_name_similarity
-
-
 @query("features_agreeing", "SELECT s1_id, cand_id, CAST(" + "+".join(f"(CASE WHEN {f} THEN 1 ELSE 0 END)" for f in B.FLAGS) + " AS BIGINT) AS agreeing FROM pairs_s2")
 def features_agreeing(spark, d):
     return S.agreeing_rules(_t(spark, d, "pairs_s2"), B.FLAGS)
 
 
-@query("label_pairs", f"WITH {GT} SELECT p.s1_id, p.cand_id, p.score, gt.s1_id IS NOT NULL AS is_match FROM pairs_s2 p LEFT JOIN gt ON gt.s1_id=p.s1_id AND gt.cand_id=p.cand_id")
+@query("label_pairs", f"WITH {GT} SELECT p.s1_id, p.cand_id, CASE WHEN isnan(p.score) THEN NULL ELSE p.score END AS score, gt.s1_id IS NOT NULL AS is_match FROM pairs_s2 p LEFT JOIN gt ON gt.s1_id=p.s1_id AND gt.cand_id=p.cand_id")
 def label_pairs(spark, d):
     return S.label_pairs(_t(spark, d, "pairs_s2").select("s1_id", "cand_id", "score"), _links(spark, d))
 
@@ -661,16 +826,16 @@ def score_macro_f05(spark, d):
 _TH = [0.2, 0.4, 0.6, 0.8]
 
 
-@query("score_thresholds", f"WITH {GT}, l AS (SELECT p.score, gt.s1_id IS NOT NULL AS m FROM pairs_s2 p LEFT JOIN gt ON gt.s1_id=p.s1_id AND gt.cand_id=p.cand_id WHERE NOT isnan(p.score)), x AS (" + " UNION ALL ".join(
+@query("score_thresholds", f"WITH {GT}, l AS (SELECT CASE WHEN isnan(p.score) THEN NULL ELSE p.score END AS score, gt.s1_id IS NOT NULL AS m FROM pairs_s2 p LEFT JOIN gt ON gt.s1_id=p.s1_id AND gt.cand_id=p.cand_id), x AS (" + " UNION ALL ".join(
     f"SELECT CAST({t} AS DOUBLE) AS threshold, count(CASE WHEN score>={t} THEN 1 END) AS pairs, count(CASE WHEN score>={t} AND m THEN 1 END) AS hits FROM l" for t in _TH)
     + ") SELECT *, hits/CAST(nullif(pairs,0) AS DOUBLE) AS precision, hits/CAST((SELECT count(*) FROM gt) AS DOUBLE) AS recall FROM x")
 def score_thresholds(spark, d):
-    return S.threshold_grid(_t(spark, d, "pairs_s2").select("s1_id", "cand_id", "score").filter(~F.isnan("score")), _links(spark, d), _TH)
+    return S.threshold_grid(_t(spark, d, "pairs_s2").select("s1_id", "cand_id", "score"), _links(spark, d), _TH)
 
 
-@query("score_split")
+@query("score_split", f"WITH {GT} SELECT p.s1_id, p.cand_id, CASE WHEN isnan(p.score) THEN NULL ELSE p.score END AS score, gt.s1_id IS NOT NULL AS is_match, CAST(CAST('0x' || substr(md5(p.s1_id),1,8) AS BIGINT) % 5 AS INTEGER) AS fold FROM pairs_s2 p LEFT JOIN gt ON gt.s1_id=p.s1_id AND gt.cand_id=p.cand_id")
 def score_split(spark, d):
-    """Labelled pairs with an entity-disjoint fold; the hash is the engine's own, so there is no SQL."""
+    """Labelled pairs with an entity-disjoint fold."""
     return S.split_by_entity(label_pairs(spark, d), "s1_id", 5)
 
 
@@ -722,19 +887,14 @@ def p1_percentiles(spark, d):
 
 # ---------------------------------------------------------------- problem 5: several values packed in one field
 
-ID_FORM = "S[0-9]+-[0-9]+"
+_LISTS = """SELECT 'train_matches' AS table_name, source1_entity_id, matched_entity_ids AS t FROM train_matches
+ UNION SELECT 'aggregated_candidates', source1_entity_id, candidate_entity_ids FROM aggregated_candidates"""
 
 
-@query("p5_found", """WITH ids AS (SELECT DISTINCT entity_id FROM train_s1 UNION SELECT DISTINCT entity_id FROM train_s2 UNION SELECT DISTINCT entity_id FROM train_s3),
- lists AS (SELECT 'train_matches' AS table_name, source1_entity_id, matched_entity_ids AS t FROM train_matches UNION SELECT 'aggregated_candidates', source1_entity_id, candidate_entity_ids FROM aggregated_candidates),
- x AS (SELECT table_name, source1_entity_id, unnest(regexp_extract_all(t, 'S[0-9]+-[0-9]+([,;|][0-9A-Za-z]+)?')) AS v, generate_subscripts(regexp_extract_all(t, 'S[0-9]+-[0-9]+([,;|][0-9A-Za-z]+)?'), 1) AS pos FROM lists WHERE t IS NOT NULL AND NOT contains(t, '|S') AND NOT contains(t, ',S') AND NOT contains(t, ';S'))
- SELECT DISTINCT table_name, source1_entity_id, CAST(pos AS INTEGER) AS pos, CASE WHEN v IN (SELECT entity_id FROM ids) THEN v ELSE regexp_extract(v, 'S[0-9]+-[0-9]+', 0) END AS entity_id FROM x
- UNION SELECT DISTINCT table_name, source1_entity_id, CAST(pos AS INTEGER), CASE WHEN v IN (SELECT entity_id FROM ids) THEN v ELSE regexp_extract(v, 'S[0-9]+-[0-9]+', 0) END FROM
- (SELECT table_name, source1_entity_id, unnest(regexp_extract_all(t, 'S[0-9]+-[0-9]+([,;|][0-9A-RT-Za-z][0-9A-Za-z]*)?')) AS v, generate_subscripts(regexp_extract_all(t, 'S[0-9]+-[0-9]+([,;|][0-9A-RT-Za-z][0-9A-Za-z]*)?'), 1) AS pos FROM lists WHERE contains(t, '|S') OR contains(t, ',S') OR contains(t, ';S'))""")
+@query("p5_found", _packed_sql(_LISTS))
 def p5_found(spark, d):
     """Every id of the packed lists with its position."""
     lists = _t(spark, d, "train_matches").select(F.lit("train_matches").alias("table_name"), "source1_entity_id", F.col("matched_entity_ids").alias("packed")).unionByName(
         _t(spark, d, "aggregated_candidates").select(F.lit("aggregated_candidates").alias("table_name"), "source1_entity_id", F.col("candidate_entity_ids").alias("packed")))
-    ids = _t(spark, d, "train_s1").select("entity_id").unionByName(_t(spark, d, "train_s2").select("entity_id")).unionByName(_t(spark, d, "train_s3").select("entity_id"))
-    out = G.segment(lists, ["table_name", "source1_entity_id"], "packed", ids, ID_FORM)
+    out = G.segment(lists, ["table_name", "source1_entity_id"], "packed", _ids(spark, d), L.ID_FORM)
     return out.select("table_name", "source1_entity_id", "pos", F.col("value").alias("entity_id")).distinct()

@@ -9,14 +9,15 @@ from pyspark.sql.types import StructType
 from kinfold.sources import schema as S
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType = S.SOURCE, quote: str | None = '"') -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: StructType = S.SOURCE, quote: str | None = '"', multi_line: bool = False) -> DataFrame:
     """Tab-separated file with a header under a pinned schema.
 
     ``quote=None`` switches quoting off, so quotation marks stay in the values. An empty field is null, quoted or not;
-    leading and trailing spaces are kept.
+    leading and trailing spaces are kept. ``multi_line`` reads quoted line breaks as part of a value; such a file cannot
+    be divided, so it is one task, whatever its size: leave it off where no value holds a line break.
     """
     r = spark.read.schema(schema).option("sep", "\t").option("header", True).option("enforceSchema", True)
-    r = r.option("multiLine", quote is not None)
+    r = r.option("multiLine", multi_line and quote is not None)
     r = r.option("quote", quote).option("escape", quote) if quote else r.option("quote", "")
     return r.csv(path)
 
@@ -39,16 +40,31 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, single_file: bool = False) -> None:
-    """Tab-separated output with a header. ``single_file`` funnels all rows through one task: for deliveries only."""
-    if order_by:
-        df = df.orderBy(*order_by)
-    if single_file:
-        df = df.coalesce(1)
-    w = df.write.option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", '""')
+def write_tsv(df: DataFrame, path: str, order_by: list[str] | None = None, quote: str | None = '"') -> None:
+    """A folder of tab-separated files with headers, ordered across them by ``order_by``. ``quote=None`` never quotes."""
+    w = (df.orderBy(*order_by) if order_by else df).write.option("sep", "\t").option("header", True)
+    w = w.option("escape", quote).option("emptyValue", quote * 2) if quote else w.option("quote", "\u0000").option("emptyValue", "")
     w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def deliver_tsv(df: DataFrame, path: str, order_by: list[str], quote: str | None = '"') -> None:
+    """One tab-separated file at ``path`` with a header, ordered.
+
+    One task sorts, with spilling, and writes all rows, as one ordered file asks for. The file is moved to ``path`` when
+    it is whole, replacing a file that was there.
+    """
+    spark = df.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder, target = fs_path(f"{path}.parts"), fs_path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(folder, True)
+    write_tsv(df.repartition(1).sortWithinPartitions(*order_by), f"{path}.parts", quote=quote)
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(folder, True)
+
+
 def register(spark: SparkSession, tables: dict[str, DataFrame]) -> list[str]:
     """Registers lazily evaluated views; gives their names in order."""
     for name, df in tables.items():
