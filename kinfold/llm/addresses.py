@@ -154,24 +154,27 @@ def read(address: str, country: str | None) -> tuple[list[str], str, str, str, s
 NODE = ["num", "street", "kind", "town", "code"]
 
 
-def readings(addresses: DataFrame) -> DataFrame:
-    """``address, country, n, place, num, street, kind, town, code`` of distinct addresses (columns ``address, country, n``),
+def readings(addresses: DataFrame, keys: tuple[str, ...] = ("address", "country")) -> DataFrame:
+    """``keys, n, place, places, num, street, kind, town, code`` of distinct addresses (columns ``address, country, n``),
     ``place`` 0 for the likelier house number and ``places`` how many there are.
 
-    An address that names no building has no row.
+    ``keys`` are the columns that identify an address: itself, or signatures in its place. An address that names no
+    building has no row.
     """
-    distinct = addresses.select("address", "country", F.col("n").cast("long")).filter(F.col("address") != "")
+    columns = list(dict.fromkeys(["address", "country", *keys]))
+    distinct = addresses.filter(F.col("address") != "").select(*columns, F.col("n").cast("long"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         rows = []
-        for a, c, n in zip(batch["address"], batch["country"], batch["n"]):
+        for a, c, *own in zip(batch["address"], batch["country"], *(batch[k] for k in keys), batch["n"]):
             r = read(a, c)
             if r:
-                rows += [(a, c, n, i, len(r[0]), num, *r[1:]) for i, num in enumerate(r[0])]
-        columns = zip(*rows) if rows else ((),) * (5 + len(NODE))
-        return {name: list(values) for name, values in zip(("address", "country", "n", "place", "places", *NODE), columns)}
+                rows += [(*own, i, len(r[0]), num, *r[1:]) for i, num in enumerate(r[0])]
+        names = (*keys, "n", "place", "places", *NODE)
+        return dict(zip(names, map(list, zip(*rows) if rows else ((),) * len(names))))
 
-    return map_columns(distinct, run, "address string, country string, n long, place int, places int, " + ", ".join(f"{x} string" for x in NODE))
+    kept = ", ".join(f"{k} {distinct.schema[k].dataType.simpleString()}" for k in keys)
+    return map_columns(distinct, run, f"{kept}, n long, place int, places int, " + ", ".join(f"{x} string" for x in NODE))
 
 
 def with_towns(read_: DataFrame) -> DataFrame:
@@ -181,19 +184,31 @@ def with_towns(read_: DataFrame) -> DataFrame:
     return read_.join(usual, "code", "left").withColumn("town", F.when(F.col("town") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("town"))).drop("usual")
 
 
-def _bits(text: str) -> Column:
-    """Keys of a text, one of which any text that is ``near`` it or within two edits of six and more characters has too.
+def _bits(text: str) -> tuple[Column, Column]:
+    """Numbers of the keys of a text, and the key of number ``i``; any text that is ``near`` it, or within two edits of six
+    and more characters, has one of its keys too.
 
-    Its first four and its last four characters with one left out: two edits cannot touch both ends twice where there are
-    eight characters. In the middle of shorter texts they leave two characters at either end, or the same letters.
+    1 to 4: its first four characters with one left out; 5: its last four. Of two edits, either one at most is in the
+    first four characters, or both are, and then the last four of eight and more are whole. 6 and 7: in the middle of
+    short texts two edits leave two characters at either end, or the same letters. 8 to 11: the last four of texts of six
+    and seven characters with one left out.
     """
-    def out(mark: str, part: Column) -> Column:
-        one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), lambda i: F.concat(F.lit(mark), F.left(part, i - 1), F.substring(part, i + 1, F.lit(4))))
-        return F.when(F.length(part) < 4, F.array_append(one, F.concat(F.lit(mark), part))).otherwise(one)
-
-    c = F.col(text)
-    short = F.array(F.concat(F.lit("="), F.left(c, F.lit(2)), F.right(c, F.lit(2))), F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(c, "")), "")))
-    return F.array_distinct(F.concat(out("<", F.left(c, F.lit(4))), out(">", F.right(c, F.lit(4))), F.when(F.length(c) < 8, short).otherwise(F.array().cast("array<string>"))))
+    c, i = F.col(text), F.col("i")
+    n = F.length(c)
+    out = lambda mark, part, at: F.concat(F.lit(mark), F.substring(part, F.lit(1), at - 1), F.substring(part, at + 1, F.lit(4)))
+    tail = F.right(c, F.lit(4))
+    key = (
+        F.when(i <= 4, out("<", F.left(c, F.lit(4)), i))
+        .when(i == 5, F.when(n < 4, F.concat(F.lit("<"), c)).otherwise(F.concat(F.lit(">"), tail)))
+        .when(i == 6, F.concat(F.lit("="), F.left(c, F.lit(2)), F.right(c, F.lit(2))))
+        .when(i == 7, F.concat(F.lit("~"), F.array_join(F.sort_array(F.split(c, "")), "")))
+        .otherwise(out(")", tail, i - 7))
+    )
+    numbers = [[5], [1, 5, 6, 7], [1, 2, 5, 6, 7], [1, 2, 3, 5, 6, 7], [1, 2, 3, 4, 6, 7], [1, 2, 3, 4, 6, 7], [*range(1, 12)], [*range(1, 12)]]
+    of = F.lit([1, 2, 3, 4, 5])
+    for size, x in enumerate(numbers):
+        of = F.when(n == size, F.lit(x)).otherwise(of)
+    return of, key
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
@@ -203,9 +218,12 @@ def _meetings(nodes: DataFrame) -> DataFrame:
     Of complete nodes that agree in street, kind, and town or code, each meets only the heaviest: all of them are
     neighbours, and no other of them can be the heaviest neighbour of any.
     """
-    keys = lambda kind, of, bits: F.transform(bits, lambda x: F.xxhash64(F.lit(kind), F.col("num"), F.col(of), x))
-    spelt = [("code", F.col("code") != "", "street"), ("town", F.lit(True), "street"), ("street", F.col("town") != "", "town")]
-    rows = [nodes.filter(some).select("id", "full", F.xxhash64(apart).alias("own"), F.explode(keys(of + apart, of, _bits(apart))).alias("k")) for of, some, apart in spelt]
+    def keyed_by(some: Column, of: str, apart: str) -> DataFrame:
+        numbers, key = _bits(apart)
+        rows = nodes.filter(some).select("id", "full", F.xxhash64(apart).alias("own"), F.xxhash64(F.lit(of + apart), "num", of).alias("shared"), apart, F.explode(numbers).alias("i"))
+        return rows.select("id", "full", "own", F.xxhash64("shared", key).alias("k"))
+
+    rows = [keyed_by(F.col("code") != "", "code", "street"), keyed_by(F.lit(True), "town", "street"), keyed_by(F.col("town") != "", "street", "town")]
     # Readings that lack something meet every complete one with the same street, not only the heaviest.
     rows += [nodes.filter(F.col(of) != "").select("id", "full", F.col("full").cast("long").alias("own"), F.xxhash64(F.lit(of), "num", of, "street").alias("k")) for of in ("code", "town")]
     keyed = reduce(DataFrame.unionByName, rows)
@@ -243,8 +261,8 @@ def same_place() -> Column:
     return (a("num") == b("num")) & kinds & rare & (near(a("street"), b("street")) | loose) & place
 
 
-def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
-    """``address, country, building``: distinct addresses (columns ``address, country, n``) with the building they denote.
+def buildings(addresses: DataFrame, window: int = 4, keys: tuple[str, ...] = ("address", "country")) -> DataFrame:
+    """``keys, building``: distinct addresses (columns ``address, country, n``, and ``keys``) with the building they denote.
 
     All readings meet that agree in one of street, town and code and are spelt nearly alike in another, however many a
     building has. Further passes sort by (number, street) and (number, street from its end) in blocks of two letters, for
@@ -254,7 +272,7 @@ def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
     building, have no row.
     """
     key = F.xxhash64(*NODE)
-    read_ = with_towns(materialize(readings(addresses), "readings")).withColumn("id", key)
+    read_ = with_towns(materialize(readings(addresses, keys), "readings")).withColumn("id", key)
     full = (F.col("kind") != "") & ((F.col("town") != "") | (F.col("code") != ""))
     nodes = materialize(read_.filter("place = 0").groupBy("id", *NODE).agg(F.sum("n").alias("weight")).withColumn("full", full), "places")
     street = nodes.withColumns({"head": F.left("street", F.lit(2)), "tail": F.right("street", F.lit(2))})
@@ -272,14 +290,14 @@ def buildings(addresses: DataFrame, window: int = 4) -> DataFrame:
     part = edges.filter("fa <> fb").select(F.when(F.col("fa"), F.col("b")).otherwise(F.col("a")).alias("id"), F.when(F.col("fa"), F.col("a")).otherwise(F.col("b")).alias("of"))
     agreed = part.join(whole.select(F.col("id").alias("of"), "root"), "of").groupBy("id").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 = r1").select("id", F.col("r0").alias("root"))
     known = whole.select("id", "root").unionByName(agreed)
-    placed = read_.select("address", "country", "place", "places", "id").join(known, "id", "left").withColumn("building", F.coalesce("root", "id")).drop("root")
+    placed = read_.select(*keys, "place", "places", "id").join(known, "id", "left").withColumn("building", F.coalesce("root", "id")).drop("root")
     placed = materialize(placed, "placed")
-    sure = placed.filter("places = 1").select("address", "country", "building")
+    sure = placed.filter("places = 1").select(*keys, "building")
     # Of two possible house numbers the likelier one counts, unless only the other meets a building of other addresses.
     open_ = placed.filter("places > 1")
     sizes = placed.filter("place = 0").join(open_.select("building").distinct(), "building", "left_semi").groupBy("building").agg(F.count(F.lit(1)).alias("size"))
     best = F.struct(F.when((F.col("place") == 0) & (F.col("size") > 1), 3).when((F.col("place") > 0) & (F.col("size") >= 1), 2).otherwise(1).alias("rank"), (-F.col("place")).alias("p"), F.col("building").alias("building"))
-    chosen = open_.join(sizes, "building", "left").groupBy("address", "country").agg(F.max(best).alias("m")).select("address", "country", F.col("m.building").alias("building"))
+    chosen = open_.join(sizes, "building", "left").groupBy(*keys).agg(F.max(best).alias("m")).select(*keys, F.col("m.building").alias("building"))
     return sure.unionByName(chosen)
 
 

@@ -11,7 +11,7 @@ from kinfold.session import materialize
 def near(a: Column, b: Column) -> Column:
     """At most one edit or transposition, or two edits in texts of eight and more characters."""
     two = F.levenshtein(a, b, 2)
-    letters = lambda x: F.array_sort(F.split(x, ""))
+    letters = lambda x: F.sort_array(F.split(x, ""))
     close = (two >= 0) & (two <= 1) | (two == 2) & ((F.least(F.length(a), F.length(b)) >= 8) | (letters(a) == letters(b)))
     return (a == b) | close
 
@@ -30,17 +30,22 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     A node joins the heaviest of its neighbours and itself, of equal weight the smaller id. That order is total, so there
     are no cycles, and hubs of low weight cannot chain two heavy groups together as connected components would. Chains
-    are halved by pointer jumping until none is left; each round is one equi-join, and nothing is collected.
+    are halved by pointer jumping until none is left; each round is one equi-join of the nodes below a root, and nothing is
+    collected.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    weighted = both.join(nodes.select(F.col("id").alias("other"), "weight"), "other").select("id", "other", "weight")
-    own = nodes.select("id", F.col("id").alias("other"), "weight")
+    weights = nodes.select(F.col("id").alias("other"), "weight")
     best = F.max(F.struct(F.col("weight"), (-F.col("other")).alias("neg")))
-    parents = materialize(own.unionByName(weighted).groupBy("id").agg(best.alias("m")).select("id", (-F.col("m.neg")).alias("root")), "parents")
+    heaviest = both.join(weights, "other").groupBy("id").agg(best.alias("m"))
+    # A node that is heavier than its neighbours, or has none, is its own root and moves no further.
+    own = F.struct(F.col("weight"), (-F.col("id")).alias("neg"))
+    up = nodes.join(heaviest, "id", "left").select("id", F.when(F.col("m") > own, -F.col("m.neg")).otherwise(F.col("id")).alias("root"))
+    parents = materialize(up, "parents")
+    joined, tops = parents.filter("id <> root"), parents.filter("id = root")
     while True:
-        up = parents.select(F.col("id").alias("root"), F.col("root").alias("upper"))
-        moved = parents.join(up, "root").select("id", F.col("upper").alias("root"), (F.col("root") != F.col("upper")).alias("moved"))
+        above = joined.select(F.col("id").alias("root"), F.col("root").alias("upper"))
+        moved = joined.join(above, "root", "left").select("id", F.coalesce("upper", "root").alias("root"), F.col("upper").isNotNull().alias("moved"))
         moved = materialize(moved, "parents")
-        parents = moved.select("id", "root")
+        joined = moved.select("id", "root")
         if moved.filter("moved").isEmpty():
-            return parents
+            return tops.unionByName(joined)

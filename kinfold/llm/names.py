@@ -95,7 +95,7 @@ _BY_SKELETON = {skeleton(w): v for w, v in reversed(_LONG.items()) if len(skelet
 
 
 def _cuts(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word, *[word[:i] + word[i + 1 :] for i in range(len(word))]}
 
 
 _BY_CUT: dict[str, set[str]] = {}
@@ -112,8 +112,12 @@ def _letters(word: str) -> int:
     return bits
 
 
-#: Letters, length and word of those long enough to be recognised with two edits; an edit changes at most two letters of the set.
-_SETS = [(_letters(w), len(w), w) for w in _LONG if len(w) >= 7]
+#: By length, letters and word of those long enough to be recognised with two edits; an edit changes at most two letters of the set.
+_SETS: dict[int, list[tuple[int, str]]] = {}
+for _w in _LONG:
+    if len(_w) >= 7:
+        for _n in range(len(_w) - 2, len(_w) + 3):
+            _SETS.setdefault(_n, []).append((_letters(_w), _w))
 
 
 @lru_cache(maxsize=400_000)
@@ -132,11 +136,10 @@ def known(word: str) -> tuple[str, str] | None:
         return None
     if (s := skeleton(w)) in _BY_SKELETON:
         return _BY_SKELETON[s]
-    near = {x for c in _cuts(w) for x in _BY_CUT.get(c, ())}
-    near = {x for x in near if edits(w, x, 1) == 1}
+    near = {x for c in _BY_CUT.keys() & _cuts(w) for x in _BY_CUT[c] if edits(w, x, 1) == 1}
     if not near and len(w) >= 7:
-        bits, n = _letters(w), len(w)
-        near = {x for b, k, x in _SETS if -2 <= k - n <= 2 and (b ^ bits).bit_count() <= 4 and edits(w, x) == 2}
+        bits = _letters(w)
+        near = {x for b, x in _SETS.get(len(w), ()) if (b ^ bits).bit_count() <= 4 and edits(w, x) == 2}
     return VOCABULARY[min(near)] if near else None
 
 
@@ -165,8 +168,9 @@ def read(name: str) -> tuple[str, str, str, tuple[str, ...]] | None:
     """
     if name in X.PLACEHOLDERS:
         return None
-    name = _LETTERS.sub(lambda m: m[0].replace(" ", ""), _FIRM.sub(" ", name))
     words = name.split()
+    if any(len(w) == 1 for w in words):
+        words = _LETTERS.sub(lambda m: m[0].replace(" ", ""), _FIRM.sub(" ", name)).split()
     if len(words) > 1 and words[0] == "the":
         words = words[1:]
     brand = given = line = kin = ""
@@ -239,30 +243,30 @@ def forms(name: str) -> list[tuple[str, str, str, str]]:
 FORM = ["context", "brand", "givens", "forms"]
 
 
-def rewritings(names: DataFrame) -> DataFrame:
-    """``name, n, node, context, brand, givens, forms``: the canonical rewritings of distinct names (columns ``name, n``).
+def rewritings(names: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """``keys, n, node, context, brand, givens, forms``: the canonical rewritings of distinct names (columns ``name, n``).
 
-    Several given names or forms are joined by bars; ``node`` identifies the whole. Null and empty names, placeholders and names without any word of their own have no row.
+    ``keys`` are the columns that identify a name: itself, or signatures in its place. Several given names or forms are
+    joined by bars; ``node`` identifies the whole. Null and empty names, placeholders and names without any word of their
+    own have no row.
     """
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("name", "n", *FORM)}
-        for name, n in zip(batch["name"], batch["n"]):
+        rows = []
+        for name, *own in zip(batch["name"], *(batch[k] for k in keys), batch["n"]):
             f = forms(name) if name else []
             if f and (f[0][2] or f[0][3]):
-                out["name"].append(name)
-                out["n"].append(n)
-                out["context"].append(f[0][0])
-                out["brand"].append(f[0][1])
-                out["givens"].append(f[0][2] if len(f) == 1 else "|".join(sorted({x[2] for x in f})))
-                out["forms"].append(f[0][3] if len(f) == 1 else "|".join(sorted({x[3] for x in f})))
-        return out
+                one = len(f) == 1
+                rows.append((*own, f[0][0], f[0][1], f[0][2] if one else "|".join(sorted({x[2] for x in f})), f[0][3] if one else "|".join(sorted({x[3] for x in f}))))
+        columns = (*keys, "n", *FORM)
+        return dict(zip(columns, map(list, zip(*rows) if rows else ((),) * len(columns))))
 
-    schema = "name string, n long, context string, brand string, givens string, forms string"
-    return map_columns(names.select("name", F.col("n").cast("long")), run, schema).withColumn("node", F.xxhash64(*FORM))
+    given = names.select(*dict.fromkeys(["name", *keys]), F.col("n").cast("long"))
+    schema = ", ".join(f"{k} {given.schema[k].dataType.simpleString()}" for k in keys) + ", n long, context string, brand string, givens string, forms string"
+    return map_columns(given, run, schema).withColumn("node", F.xxhash64(*FORM))
 
 
-def name_groups(names: DataFrame) -> DataFrame:
-    """``name, n, node, context, forms, root``: names with the group of spellings they belong to (columns ``name, n``, distinct names).
+def name_groups(names: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """``keys, node, context, forms, root``: distinct names (columns ``name, n``, and ``keys``) with their group of spellings.
 
     The forms of all names are exploded into keys - a form with one letter left out at each place, and its first and last
     six letters - together with context, brand and first letter of the given name. Under each key a form meets the one of
@@ -270,15 +274,17 @@ def name_groups(names: DataFrame) -> DataFrame:
     is a rewriting; within two it is one only for long forms of which one is rare, since a rare spelling close to a
     common one is an error, and two common ones are two names.
     """
-    read_ = materialize(rewritings(names), "rewritings")
+    read_ = materialize(rewritings(names, keys), "rewritings")
     nodes = read_.groupBy("node", *FORM).agg(F.sum("n").alias("weight"))
     nodes = materialize(nodes.withColumns({c: F.split(c, r"\|") for c in ("givens", "forms")}), "forms")
     own = nodes.select("node", "weight", F.xxhash64("context", "brand").alias("about"), F.explode("givens").alias("given"), "forms").select("node", "weight", F.xxhash64("about", F.left("given", F.lit(1))).alias("about"), F.explode("forms").alias("form"))
-    cut = F.transform(F.sequence(F.lit(1), F.length("form")), lambda i: F.concat(F.substring(F.col("form"), F.lit(1), i - 1), F.substring(F.col("form"), i + 1, F.lit(1000000))))
-    keys = F.when(F.length("form") >= 3, F.array_distinct(F.concat(F.array("form"), cut))).otherwise(F.array("form"))
-    ends = F.when(F.length("form") >= 8, F.array(F.concat(F.lit("<"), F.left("form", F.lit(6))), F.concat(F.lit(">"), F.right("form", F.lit(6))))).otherwise(F.array().cast("array<string>"))
-    # Only numbers travel to the keys; the few pairs that come back fetch their forms.
-    met = own.select("node", "weight", "about", F.explode(F.concat(keys, ends)).alias("key")).select("node", "weight", F.xxhash64("about", "key").alias("k"))
+    # Which key a row is for is a number, so that keys are made in compiled code: 0 is the form, i > 0 leaves letter i out,
+    # -1 and -2 are its first and last six letters. Only numbers travel to the keys; the pairs that come back fetch forms.
+    n, i = F.length("form"), F.col("i")
+    which = own.withColumn("i", F.explode(F.sequence(F.when(n >= 8, -2).otherwise(0), F.when(n >= 3, n).otherwise(0))))
+    left_out = F.concat(F.substring(F.col("form"), F.lit(1), i - 1), F.substring(F.col("form"), i + 1, F.lit(1000000)))
+    key = F.when(i > 0, left_out).when(i == 0, F.col("form")).when(i == -1, F.concat(F.lit("<"), F.left("form", F.lit(6)))).otherwise(F.concat(F.lit(">"), F.right("form", F.lit(6))))
+    met = which.select("node", "weight", F.xxhash64("about", key).alias("k"))
     w = W.partitionBy("k").orderBy(F.desc("weight"), "node")
     met = met.select(F.col("node").alias("a"), F.first("node").over(w).alias("hub"), F.lag("node").over(w).alias("prev"))
     pairs = met.filter("hub <> a OR prev <> a").select("a", F.explode(F.array("hub", "prev")).alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -288,14 +294,15 @@ def name_groups(names: DataFrame) -> DataFrame:
 
     def alike(f: Column, g: Column) -> Column:
         two, shorter = F.levenshtein(f, g, 2), F.least(F.length(f), F.length(g))
-        swapped = (two == 2) & (F.array_sort(F.split(f, "")) == F.array_sort(F.split(g, "")))
-        return (f == g) | (shorter >= 4) & ((two == 1) | swapped) | (two == 2) & (shorter >= 7) & rare
+        swapped = (two == 2) & (F.sort_array(F.split(f, "")) == F.sort_array(F.split(g, "")))
+        return (f == g) | (shorter >= 4) & ((two == 1) | swapped) | (two == 2) & (shorter >= 7) & F.col("rare")
 
-    some = lambda of, test: F.exists(f"a_.{of}", lambda f: F.exists(f"b_.{of}", lambda g: test(f, g)))
-    given = some("givens", lambda h, k: (h == k) | (F.length(h) == 1) & F.startswith(k, h) | (F.length(k) == 1) & F.startswith(h, k))
-    edges = pairs.filter(given & some("forms", alike)).select("a", "b")
+    initial = lambda h, k: (h == k) | (F.length(h) == 1) & F.startswith(k, h) | (F.length(k) == 1) & F.startswith(h, k)
+    pairs = pairs.filter(F.exists("a_.givens", lambda h: F.exists("b_.givens", lambda k: initial(h, k))))
+    each = pairs.select("a", "b", rare.alias("rare"), F.explode("a_.forms").alias("f"), F.col("b_.forms").alias("gs")).select("a", "b", "rare", "f", F.explode("gs").alias("g"))
+    edges = each.filter(alike(F.col("f"), F.col("g"))).select("a", "b")
     groups = roots(nodes.select(F.col("node").alias("id"), "weight"), edges)
-    return read_.select("name", "n", "node", "context", F.split("forms", r"\|").alias("forms")).join(groups.select(F.col("id").alias("node"), "root"), "node")
+    return read_.select(*keys, "node", "context", F.split("forms", r"\|").alias("forms")).join(groups.select(F.col("id").alias("node"), "root"), "node")
 
 
 def same_organisation(names: DataFrame) -> DataFrame:
