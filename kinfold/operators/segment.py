@@ -89,7 +89,7 @@ def segment(lists: DataFrame, keys: list[str], packed: str, dictionary: DataFram
     nulls, repeats and values without a letter or digit do no harm. A list is handled whole in one task, however long.
     """
     lists = lists.select(*keys, F.col(packed).alias("packed_")).filter(F.col("packed_").isNotNull()).distinct()
-    known = dictionary.select(F.col(dictionary.columns[0]).alias("value_")).filter(F.col("value_") != "").distinct()
+    known = dictionary.select(F.col(dictionary.columns[0]).alias("value_")).filter(F.col("value_") != "")
     runs = lambda c: F.regexp_extract_all(c, F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
     longest = F.array_max(F.transform(runs("value_"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     own = F.regexp_extract("value_", pattern, 0)
