@@ -148,3 +148,9 @@ def p9_found(spark, d):
 def p9_rates(spark, d):
     """How often each source cuts its documents off."""
     return truncation.rates(truncation.truncated(_t(spark, d, "documents")))
+
+
+@query("p9_paths")
+def p9_paths(spark, d):
+    """Cut documents by the kind of value that showed it."""
+    return truncation.truncated(_t(spark, d, "documents")).filter("cut").groupBy("path").agg(F.count(F.lit(1)).alias("n_cut"))

@@ -68,7 +68,7 @@ def test_keys_meet_all_near(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdr") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
     words = sorted({*words, *(w for x in words for w in (_misspelt(_misspelt(x + "abc", rng), rng), x + "abc", x[::-1], x[1:] + x[:1]) if w)})
-    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", A._bits("w").alias("keys"))
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.explode(A._bits("w")[0]).alias("i")).groupBy("w").agg(F.collect_set(A._bits("w")[1]).alias("keys"))
     x, y = df.select(F.col("w").alias("v"), F.col("keys").alias("other")), df
     loose = (F.least(F.length("v"), F.length("w")) >= 6) & (F.levenshtein("v", "w", 2) >= 0)
     pairs = x.join(y, F.col("v") < F.col("w")).filter(near(F.col("v"), F.col("w")) | loose)

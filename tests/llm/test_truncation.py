@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from kinfold.llm import truncation as T
@@ -74,5 +75,46 @@ def test_prefixes_of_every_kind(spark):
     kept = {6: long[:29].rpartition(" ")[0], 7: page, 8: long[:10]}
     docs = [(1, long), (10, other), (9, page + " today and more"), *cut.items(), *kept.items()]
     assert long[70] == " " and long[71] != " "
-    got = {r["doc"] for r in T.prefixes(spark.createDataFrame(docs, "doc long, text string")).collect()}
+    got = {r["doc"] for r in T.prefixes(spark.createDataFrame([(i, x.rstrip("…")) for i, x in docs], "doc long, body string")).collect()}
     assert got == set(cut)
+
+
+def test_hashes_of_arrays_are_those_of_windows():
+    """Windows and sentences hashed from arrays equal those of single ends, at every word and width."""
+    rng = random.Random(6)
+    text = "- first item. " + " ".join(sentence(rng) + rng.choice([". ", "! ", "\n- ", ", "]) for _ in range(30)) + "and an open end"
+    parts = T._SPLIT.split(text)
+    tokens, gaps = parts[1::2], [*(T._GAP[g] for g in parts[2:-1:2]), 3]
+    seq, after, begins, want, before = [], [], [], {}, []
+    words = []
+    for i, (t, g) in enumerate(zip(tokens, gaps)):
+        if i == 0 or gaps[i - 1] in (1, 2):
+            words = [T._ITEM if i == 0 or gaps[i - 1] == 2 else T._START]
+            seq, after, begins = [*seq, words[0]], [*after, -1], [*begins, True]
+        words.append(T._HASH[t])
+        seq, after, begins = [*seq, words[-1]], [*after, -1 if g == 3 else min(g, 1)], [*begins, False]
+        before.append(T._polynomial(words[-3:-1]))
+        if g != 3:
+            for h in [T._polynomial(words[-k:]) for k in T.WIDTHS if len(words) >= k] + [T._whole(words)] * (len(words) > T.WIDTHS[0]):
+                want[h, min(g, 1)] = want.get((h, min(g, 1)), 0) + 1
+    got_grams, got_kinds, got_before = T._windows(np.array(seq, np.uint64), np.array(after), np.array(begins))
+    got = {}
+    for k in zip(got_grams.tolist(), got_kinds.tolist()):
+        got[k] = got.get(k, 0) + 1
+    assert got == want and got_before[~np.array(begins)].tolist() == before and len(want) > 300
+
+
+def test_planted_cuts(spark, corpus):
+    """Of complete texts cut at random places inside a sentence nearly all are found, and none that was left whole."""
+    rng = random.Random(8)
+    rows = [(3000 + i, t[: rng.randrange(len(t) // 2, len(t) - 3)], "forum") for i, (_, t, _) in enumerate(corpus[:150])]
+    rows = [r for r in rows if r[1][-1].isalnum() and corpus[r[0] - 3000][1][len(r[1])] not in ".!? "]
+    got, out = flags(spark, corpus + rows)
+    assert len(rows) > 80 and sum(got[r[0]] for r in rows) >= 0.95 * len(rows) and not any(got[r[0]] for r in corpus)
+    assert "sentence" in {r["path"] for r in out if r["cut"]} and all((r["path"] is None) != r["cut"] for r in out)
+
+
+def test_marks_and_last_lines():
+    assert T._without(T._MARK, "x" * 300 + " " * 2000 + "(truncated)") == "x" * 300 and T._without(T._MARK, "a") == "a"
+    assert T.last_sentence("One two. Three four") == (["Three", "four"], False) and T.last_sentence("One two.\n") == ([], False)
+    assert T.last_sentence("One\n- two three") == (["two", "three"], True) and T.last_sentence("") == ([], False)
