@@ -126,7 +126,7 @@ def map_columns(df: DataFrame, run: Callable[[dict[str, list]], dict[str, list]]
 def map_tables(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str) -> DataFrame:
     """Like ``map_columns`` over all batches of a task: ``run`` gets an iterator and may keep state between batches.
 
-    A column it gives is a list, or a pair of a NumPy array and a mask of its nulls (or None).
+    A column it gives is a list, an Arrow array, or a pair of a NumPy array and a mask of its nulls (or None).
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -137,9 +137,13 @@ def map_tables(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterato
     assert isinstance(fields, StructType)
     target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
 
+    def column(x, kind):
+        if isinstance(x, pa.Array):
+            return x.cast(kind)
+        return pa.array(x[0], kind, mask=x[1]) if isinstance(x, tuple) else pa.array(x, kind)
+
     def batches(it: Iterator) -> Iterator:
         for out in run(b.to_pydict() for b in it):
-            columns = [out[f.name] if isinstance(out[f.name], tuple) else (out[f.name], None) for f in target]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type, mask=mask) for f, (x, mask) in zip(target, columns)], schema=target)
+            yield pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(batches, schema)
