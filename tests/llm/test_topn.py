@@ -1,6 +1,7 @@
 import math
 import random
 
+from kinfold.llm import topn
 from kinfold.llm.topn import top_n
 
 
@@ -32,3 +33,21 @@ def test_zero_signs_are_equal_and_infinite_scores_rank(spark):
 
 def test_empty(spark):
     assert top_n(spark.createDataFrame([], "g string, i string, s double"), "g", "i", "s", 5).count() == 0
+
+
+def test_heaps_are_bounded_before_the_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice("aaab"), f"i{rng.randrange(500)}", float(rng.randrange(50))) for _ in range(20000)]
+    df = spark.createDataFrame(rows, "g string, i string, s double").repartition(3)
+    kept = topn.heaps(df, 5)
+    assert kept.count() <= 3 * 2 * 5
+    monkeypatch.setattr(topn, "AT_ONCE", 700)  # many merges, and heaps handed on in between
+    monkeypatch.setattr(topn, "MOST", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        assert {(r["g"], r["rank"], r["i"], r["s"]) for r in top_n(df, "g", "i", "s", 5).collect()} == brute(rows, 5)
+        assert df.count() > topn.heaps(df, 5).count() > 30
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = top_n(df, "g", "i", "s", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
