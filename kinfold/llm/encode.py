@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.session import map_batches, materialize, ship
+from kinfold.session import map_columns, map_tables, materialize, ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 2_000_000
@@ -36,10 +38,10 @@ def _ranks(path: str) -> dict[bytes, int]:
 
 @functools.cache
 def _encoder(path: str):
-    import public_tokenizers
+    """Encodes a text that is one word, whatever it holds."""
     import tiktoken
 
-    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(path), special_tokens={})
 
 
 @functools.cache
@@ -50,34 +52,91 @@ def _splitter():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+@functools.cache
+def _ascii_splitter():
+    """The pattern for texts of ASCII characters only, where its classes are a few ranges, for the faster engine."""
+    import public_tokenizers
+
+    space = r"\t\n\x0b\x0c\r "
+    ranges = ((r"[^\s\p{L}\p{N}]", f"[^{space}A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\s", f"[{space}]"), (r"\S", f"[^{space}]"))
+    pattern = public_tokenizers.PATTERN
+    for a, b in ranges:
+        pattern = pattern.replace(a, b)
+    return re.compile(pattern)
+
+
 def split_words(text: str) -> list[str]:
-    return _splitter().findall(text)
+    return (_ascii_splitter() if text.isascii() else _splitter()).findall(text)
 
 
 def encode_word(word: str, path: str) -> list[int]:
-    return _encoder(path)._encode_single_piece(word)
+    return _encoder(path).encode_ordinary(word)
+
+
+class _Index(dict):
+    """Numbers its keys in order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """Rows of two kinds: texts ``chunk, doc, at`` and words ``chunk, idx, word``. Written once, so both kinds agree."""
     from pyspark import TaskContext
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number = TaskContext.get().partitionId() << 32, 0
-        for pdf in batches:
-            start, size, texts = 0, 0, pdf["text"].tolist()
-            for i, t in enumerate(texts):
+    def listed(chunk: int, docs: list, texts: list[str | None]) -> dict:
+        import pyarrow as pa
+
+        index, flat, sizes = _Index(), [], []
+        for x in texts:
+            before = len(flat)
+            if x:
+                flat.extend(map(index.__getitem__, split_words(x)))
+            sizes.append(len(flat) - before)
+        n, m = len(texts), len(index)
+        offsets = np.zeros(n + m + 1, np.int32)
+        offsets[1 : n + 1] = np.cumsum(sizes)
+        offsets[n + 1 :] = offsets[n]
+        word = np.arange(n + m) >= n
+        at = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=pa.array(word))
+        return {"chunk": (np.full(n + m, chunk, np.int64), None), "doc": [*docs, *[None] * m], "at": at, "idx": (np.arange(n + m, dtype=np.int32) - n, ~word), "word": [*[None] * n, *index]}
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        chunk = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for doc, t in zip(batch["doc"], batch["text"]):
+                ids.append(doc)
+                texts.append(t)
                 size += len(t) if t else 0
-                if size < CHUNK_CHARS and i + 1 < len(texts):
-                    continue
-                index: dict[str, int] = {}
-                at = [[index.setdefault(w, len(index)) for w in split_words(x)] if x else [] for x in texts[start : i + 1]]
-                n, m = len(at), len(index)
-                yield pd.DataFrame({"chunk": [part + number] * (n + m), "doc": [*pdf["doc"].tolist()[start : i + 1], *[None] * m], "at": [*at, *[None] * m], "idx": pd.array([*[None] * n, *range(m)], dtype="Int32"), "word": [*[None] * n, *index]})
-                start, size, number = i + 1, 0, number + 1
+                if size >= CHUNK_CHARS:
+                    yield listed(chunk, ids, texts)
+                    chunk, ids, texts, size = chunk + 1, [], [], 0
+        if texts:
+            yield listed(chunk, ids, texts)
 
     source = docs.select(F.col(id_column).cast("string").alias("doc"), F.col(text).alias("text"))
-    return materialize(map_batches(source, run, "chunk long, doc string, at array<int>, idx int, word string"), "chunks")
+    return materialize(map_tables(source, run, "chunk long, doc string, at array<int>, idx int, word string"), "chunks")
+
+
+def _known(parts: DataFrame, path: str, ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Texts ``of, doc, at`` of chunks, and their words with the ids of each (or only how many, ``n``): every distinct word
+    of the corpus is encoded once."""
+    def encode_words(batch: dict[str, list]) -> dict[str, list]:
+        found = [encode_word(w, path) for w in batch["word"]]
+        return {"word": batch["word"], "ids" if ids else "n": found if ids else list(map(len, found))}
+
+    value = "ids" if ids else "n"
+    listed = parts.filter(F.col("word").isNotNull()).select("chunk", "idx", "word")
+    encoded = map_columns(listed.select("word").distinct(), encode_words, f"word string, {value} " + ("array<int>" if ids else "int"))
+    texts = parts.filter(F.col("word").isNull()).select(F.col("chunk").alias("of"), "doc", "at")
+    return texts, listed.join(encoded, "word").select("chunk", "idx", value)
+
+
+def _sizes(at) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column."""
+    return np.asarray(at.value_lengths()), np.asarray(at.flatten())
 
 
 def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -85,26 +144,48 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
 
     Empty and null texts have the empty list. Strings that look like special tokens are ordinary text. Every input row
     has its row, also with a repeated or null id; a text is handled whole, however long; other columns are ignored.
+    ``vocabulary`` is a path that all executors can read.
     """
-    path = vocabulary or vocabulary_path()
-    parts = chunks(docs, id_column, text)
+    texts, known = _known(chunks(docs, id_column, text), vocabulary or vocabulary_path(), True)
+
+    def assemble(left, right):
+        """Gathers the ids of all texts of a chunk at once."""
+        import pyarrow as pa
+
+        at, ids = left["at"].combine_chunks(), right["ids"].combine_chunks()
+        idx = np.asarray(right["idx"])
+        n_of, flat = _sizes(ids)
+        begin_of = np.cumsum(n_of) - n_of
+        starts, lengths = np.zeros(len(idx), np.int64), np.zeros(len(idx), np.int64)
+        starts[idx], lengths[idx] = begin_of, n_of
+        words, where = _sizes(at)
+        n = lengths[where]
+        upto = np.cumsum(n)
+        picked = flat[np.repeat(starts[where] - (upto - n), n) + np.arange(n.sum())]
+        offsets = np.r_[0, upto][np.r_[0, np.cumsum(words)]].astype(np.int32)
+        return pa.table({"doc": left["doc"], "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(picked, pa.int32()))})
 
-    def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [encode_word(w, path) for w in pdf["word"]]})
+    ship(docs.sparkSession)
+    out = texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInArrow(assemble, "doc string, ids array<int>")
+    return out.select(F.col("doc").cast(docs.schema[id_column].dataType).alias(id_column), "ids")
 
-    listed = parts.filter(F.col("word").isNotNull()).select("chunk", "idx", "word")
-    encoded = map_batches(listed.select("word").distinct(), encode_words, "word string, ids array<int>")
-    known = listed.join(encoded, "word").select("chunk", "idx", "ids")
-    texts = parts.filter(F.col("word").isNull()).select(F.col("chunk").alias("of"), "doc", "at")
 
-    def assemble(pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        ids = dict(zip(words["idx"], words["ids"]))
-        return pd.DataFrame({"doc": pdf["doc"], "ids": [[x for i in at for x in ids[i]] for at in pdf["at"]]})
+def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, tokens``: how many token ids every text has, as ``encode`` would give them; no ids are moved."""
+    texts, known = _known(chunks(docs, id_column, text), vocabulary or vocabulary_path(), False)
+
+    def assemble(left, right):
+        import pyarrow as pa
+
+        lengths = np.zeros(right.num_rows, np.int64)
+        lengths[np.asarray(right["idx"])] = np.asarray(right["n"])
+        words, where = _sizes(left["at"].combine_chunks())
+        upto = np.r_[0, np.cumsum(lengths[where])][np.r_[0, np.cumsum(words)]]
+        return pa.table({"doc": left["doc"], "tokens": pa.array(np.diff(upto), pa.int64())})
 
     ship(docs.sparkSession)
-    out = texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInPandas(assemble, "doc string, ids array<int>")
-    return out.select(F.col("doc").cast(docs.schema[id_column].dataType).alias(id_column), "ids")
+    out = texts.groupBy("of").cogroup(known.groupBy("chunk")).applyInArrow(assemble, "doc string, tokens long")
+    return out.select(F.col("doc").cast(docs.schema[id_column].dataType).alias(id_column), "tokens")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:

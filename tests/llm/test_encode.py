@@ -8,7 +8,10 @@ TEXTS = ["", " ", "Hello world", "it's  <|endoftext|> 12345", "naïve café –
 
 
 def reference(text):
-    return E._encoder(E.vocabulary_path()).encode_ordinary(text) if text else []
+    import public_tokenizers as P
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=E._ranks(E.vocabulary_path()), special_tokens={}).encode_ordinary(text) if text else []
 
 
 def test_ids_equal_the_tokenizer(spark):
@@ -41,5 +44,17 @@ def test_repeated_and_null_ids_keep_their_rows(spark):
     assert got == sorted([(0, reference("c")), (2**62 + 1, reference("a b")), (2**62 + 1, reference("a b"))])
 
 
+def test_counts_are_the_lengths_of_ids(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["tokens"] for r in E.count_tokens(df).collect()} == {i: len(reference(t)) for i, t in enumerate(TEXTS)}
+
+
+def test_ascii_texts_are_split_alike():
+    rng = random.Random(7)
+    for _ in range(3000):
+        x = "".join(chr(rng.choice([rng.randrange(128), 32, 32, 10, 39, 97, 115])) for _ in range(40))
+        assert E.split_words(x) == E._splitter().findall(x)
+
+
 def test_empty(spark):
     assert E.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
