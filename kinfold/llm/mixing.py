@@ -1,87 +1,133 @@
 """Mixing sources to target weights: soft memberships, and document rates fitted by projected gradients.
 
-A text of a known source belongs to it; a classifier trained on the labelled texts gives every other text a posterior over
-the sources. Rates - how often a text is used, between 0 and its cap - are fitted so that the expected tokens of each
-source match its target, by projected-gradient least squares: a step is one aggregate of nine sums over the texts, and a
-rate is recomputed from the steps so far, so nothing is kept between steps. Texts of one source have one membership and
-one cap, hence one rate: they take part as one weighted row, whatever their number.
+A classifier trained on the labelled texts gives every text a posterior over the domains, one for each target source;
+a text of a known source also belongs to that source by its label. Rates - how often a text is used, between 0 and its cap
+- are fitted for every text by projected-gradient least squares, so that the expected tokens of every domain match its
+target twice: by posteriors, and by labels, which the shares are reported by. A step is one pass over the texts that gives
+a row of sums for each task; a rate is recomputed from the steps so far, so nothing is kept between steps. The last steps
+follow the labels alone, so those totals are met as far as caps allow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.encode import encode
-from kinfold.session import materialize
+from kinfold.llm.encode import count_tokens
+from kinfold.session import materialize, ship
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 SMOOTH = 0.01
 BINS = 1000
 
 
-def _features(text: str) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def _words(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns, w``: a row for each word of ``text``, hashed into buckets."""
+    each = df.select(*columns, F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("x")).filter(F.col("x") != "")
+    return each.select(*columns, F.pmod(F.xxhash64("x"), F.lit(BUCKETS)).cast("int").alias("w"))
 
 
 def posteriors(labelled: DataFrame, texts: DataFrame, domains: list[str]) -> DataFrame:
     """``doc, p``: probabilities of each domain (array in order of ``domains``) for ``texts`` (doc, text).
 
     Multinomial naive Bayes over all words of all labelled texts (``label, text``), counted by hashed word and label with
-    map-side sums. Texts without words get the share of texts each domain has.
+    map-side sums. The fitted table has a row for each bucket, whatever the data, and is broadcast; the words of a text
+    are summed where they are read. Texts without words get the share of texts each domain has.
     """
+    k = len(domains)
     known = labelled.filter(F.col("label").isin(domains) & F.col("text").isNotNull())
-    words = known.select("label", F.explode(_features("text")).alias("w"))
-    counts = words.groupBy("w", "label").agg(F.count(F.lit(1)).alias("c"))
-    sizes = {r["label"]: (r["n"], r["t"]) for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(_features("text"))).alias("t")).collect()}  # one row per domain
-    total = sum(n for n, _ in sizes.values()) or 1
-    const = F.array(*[F.log(F.lit((sizes.get(d, (0, 0))[0] + 1e-9) / total)) for d in domains])
-    base = F.array(*[F.log(F.lit(float(sizes.get(d, (0, 0))[1] + SMOOTH * BUCKETS))) for d in domains])
-    each = texts.select("doc", F.explode(_features("text")).alias("w")).groupBy("doc", "w").agg(F.count(F.lit(1)).alias("m"))
-    wide = counts.groupBy("w").agg(*[F.sum(F.when(F.col("label") == d, F.col("c")).otherwise(0)).alias(f"c{i}") for i, d in enumerate(domains)])
-    sums = each.join(wide, "w").groupBy("doc").agg(F.array(*[F.sum(F.col("m") * F.log(F.col(f"c{i}") + F.lit(SMOOTH))) for i in range(len(domains))]).alias("s"))
-    n = texts.select("doc", F.size(F.coalesce(_features("text"), F.array().cast("array<int>"))).alias("n"))
-    z = F.transform(F.arrays_zip(F.coalesce("s", F.array_repeat(F.lit(0.0), len(domains))).alias("s"), const.alias("k"), base.alias("b")), lambda x: x["s"] + x["k"] - F.col("n") * x["b"])
-    scored = n.join(sums, "doc", "left").select("doc", z.alias("z")).withColumn("top", F.array_max("z"))
-    e = scored.withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("top"))))
-    return e.select("doc", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def fit_rates(atoms: DataFrame, targets: list[float], steps: int = 40, tolerance: float = 1e-4) -> Column:
-    """Rate of an atom (``tokens, cap, p``) as a column over ``cap`` and ``p``; ``targets`` are tokens by domain.
-
-    Least squares on the relative gaps of the domains, preconditioned by tokens: each text moves by the gaps of the
-    domains it belongs to. Ends when the gaps stop moving.
+    counts = materialize(_words(known, "label").groupBy("w", "label").agg(F.count(F.lit(1)).alias("c")), "word_counts")
+    texts_of = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per domain
+    words_of = {r["label"]: r["t"] for r in counts.groupBy("label").agg(F.sum("c").alias("t")).collect()}  # one row per domain
+    total = sum(texts_of.values()) or 1
+    prior = [float(np.log((texts_of.get(d, 0) + 1e-9) / total)) for d in domains]
+    base = [float(np.log(words_of.get(d, 0) + SMOOTH * BUCKETS)) for d in domains]
+    log = lambda i, d: F.log(F.sum(F.when(F.col("label") == d, F.col("c")).otherwise(0)) + F.lit(SMOOTH)) - F.lit(base[i])
+    table = counts.groupBy("w").agg(*[log(i, d).alias(f"l{i}") for i, d in enumerate(domains)])
+    unseen = [float(np.log(SMOOTH)) - b for b in base]
+    each = _words(texts, "doc").join(F.broadcast(table), "w", "left")
+    sums = each.groupBy("doc").agg(*[F.sum(F.coalesce(f"l{i}", F.lit(unseen[i]))).alias(f"s{i}") for i in range(k)])
+    z = [F.coalesce(f"s{i}", F.lit(0.0)) + F.lit(prior[i]) for i in range(k)]
+    scored = texts.select("doc").join(sums, "doc", "left").select("doc", *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    scored = scored.withColumn("top", F.greatest(*[F.col(f"z{i}") for i in range(k)]) if k > 1 else F.col("z0"))
+    e = scored.select("doc", *[F.exp(F.col(f"z{i}") - F.col("top")).alias(f"e{i}") for i in range(k)])
+    mass = sum((F.col(f"e{i}") for i in range(k)), F.lit(0.0))
+    return e.select("doc", F.array(*[F.col(f"e{i}") / mass for i in range(k)]).alias("p"))
+
+
+def _rates(cap: np.ndarray, p: np.ndarray, moves: list[list[float]]) -> np.ndarray:
+    """Rates of some texts after all steps: each moves against the gaps of what it belongs to, and stays within its cap."""
+    r = np.minimum(cap, 1.0)
+    for g in moves:
+        r = np.clip(r - p @ np.asarray(g), 0.0, cap)
+    return r
+
+
+def _members(batch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    columns = [np.asarray(batch.column(c), dtype=float) for c in ("tokens", "cap")]
+    return *columns, np.asarray(batch.column("p").flatten(), dtype=float).reshape(-1, k)
+
+
+def fit_rates(atoms: DataFrame, targets: list[float], last: int = 0, steps: int = 40, tolerance: float = 1e-4) -> tuple[list[list[float]], float]:
+    """Steps of the rates of atoms (``tokens, cap, p``), and the largest change of a gap in the last one.
+
+    ``p`` are memberships, ``targets`` are tokens by membership. Least squares on the relative gaps, preconditioned by
+    tokens. Ends when no gap moves by ``tolerance``. Of more than one block of memberships the first ``last`` ones are
+    followed alone after that, until they stand still, too.
     """
     k = len(targets)
-    mass = atoms.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"m{i}") for i in range(k)]).first()
-    mass = [float(m or 0.0) for m in mass]
+    ship(atoms.sparkSession)
+
+    def sums(moves: list[list[float]], all_: bool = False) -> list[float]:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            total = np.zeros(k)
+            for batch in batches:
+                tokens, cap, p = _members(batch, k)
+                total += (tokens if all_ else _rates(cap, p, moves) * tokens) @ p
+            yield pa.RecordBatch.from_pydict({f"e{i}": [x] for i, x in enumerate(total.tolist())})
+
+        parts = atoms.select("tokens", "cap", "p").mapInArrow(run, ", ".join(f"e{i} double" for i in range(k)))
+        row = parts.agg(*[F.sum(f"e{i}").alias(f"e{i}") for i in range(k)]).first()  # k sums
+        return [float(x or 0.0) for x in row]
+
+    mass = sums([], all_=True)
     moves: list[list[float]] = []
+    moved = 0.0
+    blocks = max(1, k // last) if last else 1
+    for some in [range(k), range(last)] if last else [range(k)]:
+        before: list[float] | None = None
+        for _ in range(steps):
+            now = sums(moves)
+            gaps = [(e - t) / m / (blocks if len(some) == k else 1) if m and i in some else 0.0 for i, (e, t, m) in enumerate(zip(now, targets, mass))]
+            moved = max(abs(a - b) for a, b in zip(gaps, before)) if before is not None else max(map(abs, gaps), default=0.0)
+            if before is not None and moved < tolerance:
+                break
+            moves.append(gaps)
+            before = gaps
+    return moves, moved
+
+
+def with_rates(atoms: DataFrame, moves: list[list[float]], k: int) -> DataFrame:
+    """Adds ``rate`` to atoms after ``moves``."""
+    kept = [f.name for f in atoms.schema.fields if f.name != "p"]
+    schema = ", ".join(f"{c} {atoms.schema[c].dataType.simpleString()}" for c in kept) + ", rate double"
+    ship(atoms.sparkSession)
 
-    def rate() -> Column:
-        start = F.least(F.col("cap"), F.lit(1.0))
-        if not moves:
-            return start
-        steps_ = F.array(*[F.array(*[F.lit(x) for x in g]) for g in moves])
-        return F.aggregate(steps_, start, lambda r, g: F.greatest(F.lit(0.0), F.least(F.col("cap"), r - _dot(F.col("p"), g))))
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    before: list[float] | None = None
-    for _ in range(steps):
-        sums = atoms.agg(*[F.sum(rate() * F.col("tokens") * F.col("p")[i]).alias(f"e{i}") for i in range(k)]).first()
-        gaps = [(float(e or 0.0) - t) / m if m else 0.0 for e, t, m in zip(sums, targets, mass)]
-        if before is not None and max(abs(a - b) for a, b in zip(gaps, before)) < tolerance:
-            break
-        moves.append(gaps)
-        before = gaps
-    return rate()
+        for batch in batches:
+            _, cap, p = _members(batch, k)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(_rates(cap, p, moves))], names=[*kept, "rate"])
+
+    return atoms.mapInArrow(run, schema)
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, unlabelled_repeats: int = 0, vocabulary: str | None = None) -> DataFrame:
@@ -96,52 +142,49 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, un
     """
     goals = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.filter(F.col("source").isNotNull()).collect()}
     domains = sorted(goals)
+    k = len(domains)
     share = [goals[d][0] for d in domains]
-    sized = encode(docs.select("doc_id", "text"), vocabulary=vocabulary).select("doc_id", F.size("ids").cast("long").alias("tokens")).filter("tokens > 0")
+    sized = count_tokens(docs.select("doc_id", "text"), vocabulary=vocabulary).filter("tokens > 0")
     rows = materialize(docs.select("doc_id", "source").join(sized, "doc_id"), "sized")
     per = {r["source"]: int(r["t"]) for r in rows.filter(F.col("source").isin(domains)).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per target
     if total_tokens is None:
         reach = [per.get(d, 0) * goals[d][1] / goals[d][0] for d in domains if goals[d][0] > 0]
         total_tokens = min((r for r in reach if r >= 0.5 * median(reach)), default=0.0)
-    labelled = F.col("source").isin(domains)
-    one_hot = F.array(*[F.when(F.col("source") == d, 1.0).otherwise(0.0) for d in domains])
-    caps = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(float(goals[d][1])))])
-    atoms = rows.filter(labelled).groupBy("source").agg(F.sum("tokens").cast("double").alias("tokens")).select(F.lit(None).cast("long").alias("doc"), "tokens", caps[F.col("source")].alias("cap"), one_hot.alias("p"))
-    others = None
-    if unlabelled_repeats:
-        rest = rows.filter(~F.coalesce(labelled, F.lit(False))).select(F.col("doc_id").alias("doc"), "tokens")
-        texts = docs.select(F.col("doc_id").alias("doc"), "text").join(rest.select("doc"), "doc", "left_semi")
-        post = posteriors(docs.select(F.col("source").alias("label"), "text"), texts, domains)
-        others = materialize(rest.join(post, "doc").select("doc", F.col("tokens").cast("double").alias("tokens"), F.lit(float(unlabelled_repeats)).alias("cap"), "p"), "unlabelled")
-        atoms = atoms.unionByName(others)
+    labelled = F.coalesce(F.col("source").isin(domains), F.lit(False))
+    cap = F.coalesce(F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(float(goals[d][1])))])[F.col("source")], F.lit(float(unlabelled_repeats)))
+    used = rows if unlabelled_repeats else rows.filter(labelled)
+    post = posteriors(docs.select(F.col("source").alias("label"), "text"), docs.select(F.col("doc_id").alias("doc"), "text"), domains)
+    by_label = F.array(*[F.when(F.col("source") == d, 1.0).otherwise(0.0) for d in domains])
+    atoms = used.join(post, used["doc_id"] == post["doc"]).select("doc_id", "source", F.col("tokens").cast("double").alias("tokens"), cap.alias("cap"), F.concat(by_label, "p").alias("p"))
     atoms = materialize(atoms, "atoms")
-    rate = fit_rates(atoms, [s * total_tokens for s in share])
-    sources = atoms.filter("doc IS NULL").select(F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("p", 1.0).cast("int")).alias("source"), rate.alias("rate"))
-    out = _realize(rows.filter(labelled), sources)
-    if others is not None:
-        u = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        soft = others.select("doc", rate.alias("rate")).select(F.col("doc").alias("doc_id"), (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
-        out = out.unionByName(rows.join(soft, "doc_id").select("doc_id", "source", "tokens", "copies"))
-    return out.filter("copies > 0")
-
-
-def _realize(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    """Whole copies with the token totals of fractional rates: every text its whole part, and once more the texts first in
-    a fixed random order until the rest is filled. The order is cut in bins; sums of bins find the bin where the rest
-    ends, and only that one is summed text by text."""
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    x = rows.join(F.broadcast(rates), "source").withColumns({"whole": F.floor(F.col("rate") + 1e-9).cast("int"), "u": u, "bin": F.floor(u / F.lit((1 << 40) // BINS)).cast("int")})
-    x = materialize(x, "rated")
-    per = x.groupBy("source").agg(F.sum("tokens").alias("all"), F.first("rate").alias("rate")).withColumn("rest", (F.col("rate") - F.floor(F.col("rate") + 1e-9)) * F.col("all"))
-    bins = x.groupBy("source", "bin").agg(F.sum("tokens").alias("t"))
-    w = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    filled = bins.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).join(per.select("source", "rest"), "source")
-    state = filled.select("source", "bin", (F.col("before") + F.col("t") <= F.col("rest")).alias("full"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).alias("last"), (F.col("rest") - F.col("before")).alias("left"))
-    y = x.join(state, ["source", "bin"])
-    v = W.partitionBy("source", "bin").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = y.filter("last").withColumn("upto", F.sum("tokens").over(v)).select("doc_id", "source", "tokens", (F.col("whole") + (F.col("upto") - F.col("tokens") / 2 <= F.col("left")).cast("int")).alias("copies"))
-    plain = y.filter("NOT last").select("doc_id", "source", "tokens", (F.col("whole") + F.col("full").cast("int")).alias("copies"))
-    return plain.unionByName(edge)
+    goal = [x * total_tokens for x in share]
+    moves, _ = fit_rates(atoms, goal + goal, last=k)
+    return _realize(with_rates(atoms, moves, 2 * k)).filter("copies > 0")
+
+
+def _realize(rated: DataFrame) -> DataFrame:
+    """Whole copies of texts (``doc_id, source, tokens, rate``) with the token totals of their rates in every source.
+
+    Every text is used the whole part of its rate, and once more where the rest of its rate exceeds a number drawn for it
+    (a hash), by a margin that is the same for its source and fills the tokens that are left. The order of margins is cut
+    into bins; sums of bins find the bin where a source is full, and only that one is summed text by text.
+    """
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    whole = F.floor(F.col("rate") + 1e-9).cast("int")
+    part = F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))
+    x = rated.withColumn("whole", whole).withColumn("part", part).withColumn("late", F.when(F.col("part") > 0, drawn - F.col("part")).otherwise(1.0))
+    x = materialize(x.select("doc_id", F.coalesce("source", F.lit("")).alias("of"), "source", F.col("tokens").cast("long").alias("tokens"), "whole", "part", "late", F.floor((F.col("late") + 1) / 2 * BINS).cast("int").alias("bin")), "rated")
+    bins = x.groupBy("of", "bin").agg(F.sum("tokens").alias("t"), F.sum(F.col("part") * F.col("tokens")).alias("rest"))
+    per = bins.groupBy("of").agg(F.sum("rest").alias("rest"))
+    w = W.partitionBy("of").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    filled = bins.withColumn("before", F.coalesce(F.sum("t").over(w), F.lit(0))).drop("rest").join(per, "of")
+    state = filled.select("of", "bin", (F.col("before") + F.col("t") <= F.col("rest")).alias("full"), ((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).alias("last"), (F.col("rest") - F.col("before")).alias("left"))
+    y = x.join(state, ["of", "bin"])
+    v = W.partitionBy("of", "bin").orderBy("late", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = y.filter("last").withColumn("upto", F.sum("tokens").over(v)).withColumn("more", F.col("upto") - F.col("tokens") / 2 <= F.col("left"))
+    plain = y.filter("NOT last").withColumn("more", F.col("full"))
+    cols = ["doc_id", "source", "tokens", (F.col("whole") + (F.col("more") & (F.col("part") > 0)).cast("int")).alias("copies")]
+    return plain.select(*cols).unionByName(edge.select(*cols))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

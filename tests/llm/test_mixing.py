@@ -36,11 +36,21 @@ def test_posteriors_sum_to_one_and_find_the_source(data):
 
 def test_rates_of_soft_members_meet_the_targets(spark):
     atoms = spark.createDataFrame([(100.0, 3.0, [1.0, 0.0]), (50.0, 3.0, [0.5, 0.5]), (10.0, 3.0, [0.0, 1.0])], "tokens double, cap double, p array<double>")
-    rate = M.fit_rates(atoms, [60.0, 40.0], steps=200, tolerance=1e-9)
-    r = atoms.select("tokens", "p", rate.alias("r")).collect()
-    for k, want in enumerate((60, 40)):
-        assert abs(sum(x["tokens"] * x["p"][k] * x["r"] for x in r) - want) < 0.5
-    assert all(0 <= x["r"] <= 3 for x in r)
+    moves, moved = M.fit_rates(atoms, [60.0, 40.0], steps=200, tolerance=1e-9)
+    r = M.with_rates(atoms, moves, 2).collect()
+    rate = {x["tokens"]: x["rate"] for x in r}
+    assert abs(100 * rate[100] + 25 * rate[50] - 60) < 0.5 and abs(25 * rate[50] + 10 * rate[10] - 40) < 0.5
+    assert all(0 <= x <= 3 for x in rate.values()) and moved < 1e-9
+
+
+def test_rates_follow_posteriors_within_a_source(spark):
+    """Labels fix the totals of sources; inside one, texts that read like a domain in need are used more."""
+    rows = [(10.0, 2.0, [1.0, 0.0, 0.9, 0.1])] * 50 + [(10.0, 2.0, [1.0, 0.0, 0.2, 0.8])] * 50 + [(10.0, 2.0, [0.0, 1.0, 0.1, 0.9])] * 20
+    atoms = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, tokens double, cap double, p array<double>").repartition(3)
+    moves, _ = M.fit_rates(atoms, [600.0, 300.0, 600.0, 300.0], last=2)
+    rate = {r["doc_id"]: r["rate"] for r in M.with_rates(atoms, moves, 4).collect()}
+    assert abs(sum(10 * rate[i] for i in range(100)) - 600) < 2 and abs(sum(10 * rate[i] for i in range(100, 120)) - 300) < 2
+    assert rate[0] != rate[60]
 
 
 def test_soft_use_of_unlabelled(data):
