@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm import lexicon as X
-from kinfold.llm.graph import much_rarer, near, roots
+from kinfold.llm.graph import much_rarer, near, roots, usual
 from kinfold.llm.names import plain, skeleton
 from kinfold.session import map_columns, materialize
 
@@ -245,7 +245,7 @@ def _neighbours(nodes: DataFrame, block: list[str], order: list[Column], window:
     return seen.select("a", F.explode(F.array_compact("before")).alias("b"))
 
 
-def same_place() -> Column:
+def same_place(unit: Column) -> Column:
     """Whether two neighbours ``a`` and ``b`` can be one building: number and kind strictly, street and town with edits."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     kinds = (a("kind") == b("kind")) | (a("kind") == "") | (b("kind") == "")
@@ -257,7 +257,7 @@ def same_place() -> Column:
     unknown = ((a("town") == "") & (a("code") == "")) | ((b("town") == "") & (b("code") == ""))
     place = town_same | (code_same & (~towns | (a("street") == b("street")))) | (code_near & ~towns) | unknown | (~towns & ~codes & ~(a("full") & b("full")))
     loose = town_same & code_same & (F.least(F.length(a("street")), F.length(b("street"))) >= 6) & (F.levenshtein(a("street"), b("street"), 2) >= 0)
-    rare = (a("street") == b("street")) | much_rarer(a("weight"), b("weight"))
+    rare = (a("street") == b("street")) | much_rarer(a("weight"), b("weight"), unit)
     return (a("num") == b("num")) & kinds & rare & (near(a("street"), b("street")) | loose) & place
 
 
@@ -282,7 +282,8 @@ def buildings(addresses: DataFrame, window: int = 4, keys: tuple[str, ...] = ("a
     ]
     side = lambda x: nodes.select(F.col("id").alias(x), F.struct("id", *NODE, "full", "weight").alias(f"{x}_"))
     met = _meetings(nodes).join(side("a"), "a").join(side("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
-    pairs = reduce(DataFrame.unionByName, [met.filter(same_place())] + [_neighbours(n, block, order, window).filter(same_place()) for n, block, order in passes])
+    alike = same_place(usual(nodes))
+    pairs = reduce(DataFrame.unionByName, [met.filter(alike)] + [_neighbours(n, block, order, window).filter(alike) for n, block, order in passes])
     edges = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.full").alias("fa"), F.col("b.full").alias("fb"))
     edges = materialize(edges.distinct(), "place_pairs")
     whole = roots(nodes.filter("full").select("id", "weight"), edges.filter("fa and fb").select("a", "b"))

@@ -16,13 +16,19 @@ def near(a: Column, b: Column) -> Column:
     return (a == b) | close
 
 
-def much_rarer(a: Column, b: Column) -> Column:
+def usual(nodes: DataFrame) -> Column:
+    """The median ``weight`` of nodes, as a scalar: what one spelling weighs in this corpus."""
+    return nodes.agg(F.percentile("weight", F.lit(0.5)).alias("usual")).scalar()
+
+
+def much_rarer(a: Column, b: Column, usual: Column) -> Column:
     """Whether of two weights one is so small beside the other that its spelling can be an error.
 
-    That is a quarter of the other at most, at any size of data; three records or fewer say nothing against an error.
+    That is a quarter of the other at most; a weight of up to three usual ones says nothing against an error. Both are
+    relative, so counting every record ten times changes nothing.
     """
     light = F.least(a, b)
-    return (light <= 3) | (4 * light <= F.greatest(a, b))
+    return (light <= 3 * usual) | (4 * light <= F.greatest(a, b))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

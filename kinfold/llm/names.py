@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm import lexicon as X
-from kinfold.llm.graph import much_rarer, roots
+from kinfold.llm.graph import much_rarer, roots, usual
 from kinfold.session import map_columns, materialize
 
 _DIGITS = str.maketrans("013456789", "oieasbtbg")
@@ -223,7 +223,8 @@ def _town(words: list[str], i: int) -> bool:
 
 
 def forms(name: str) -> list[tuple[str, str, str, str]]:
-    """Canonical forms (context, brand, given, own) of a name: one for each order of up to three own words."""
+    """Canonical forms (context, brand, given, own) of a name: one for each order of up to three own words; of more, as
+    written and in alphabetical order."""
     r = read(name)
     if r is None:
         return []
@@ -237,6 +238,8 @@ def forms(name: str) -> list[tuple[str, str, str, str]]:
     elif len(words) == 3:
         a, b, c = words
         joined |= {a + c + b, b + a + c, b + c + a, c + a + b, c + b + a}
+    elif len(words) > 3:
+        joined.add("".join(sorted(words)))
     return [(context, brand, g, j) for g in givens for j in sorted({skeleton(j) for j in joined})]
 
 
@@ -290,7 +293,7 @@ def name_groups(names: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFram
     pairs = met.filter("hub <> a OR prev <> a").select("a", F.explode(F.array("hub", "prev")).alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.struct("context", "brand", "weight", "givens", "forms").alias(f"{x}_"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_.context = b_.context AND a_.brand = b_.brand")
-    rare = much_rarer(F.col("a_.weight"), F.col("b_.weight"))
+    rare = much_rarer(F.col("a_.weight"), F.col("b_.weight"), usual(nodes))
 
     def alike(f: Column, g: Column) -> Column:
         two, shorter = F.levenshtein(f, g, 2), F.least(F.length(f), F.length(g))

@@ -77,9 +77,16 @@ def test_keys_meet_all_near(spark):
 
 
 def test_rarity_is_relative(spark):
-    def apart(*counts):
+    def apart(k, *counts):
         rows = [(f"53 {s} drive nuquenburg 82897", "us", n) for s, n in zip(("dupeskinbarot", "dupezkinbanot"), counts)]
-        return len({r["building"] for r in A.buildings(spark.createDataFrame(rows, "address string, country string, n int")).collect()}) == 2
+        rows += [(f"{i} morkalet road litholton 11111", "us", k) for i in range(1, 6)]  # most addresses are on one record
+        return len({r["building"] for r in A.buildings(spark.createDataFrame(rows, "address string, country string, n int")).filter("address LIKE '53 %'").collect()}) == 2
 
-    assert [apart(100 * k, 4 * k) for k in (1, 10)] == [False, False]
-    assert [apart(10 * k, 8 * k) for k in (1, 10)] == [True, True]
+    assert [apart(k, 100 * k, 4 * k) for k in (1, 10)] == [False, False]
+    assert [apart(k, 10 * k, 8 * k) for k in (1, 10)] == [True, True]
+
+
+def test_result_does_not_depend_on_how_often_all_records_are_counted(spark, sf):
+    t = spark.read.parquet(f"{sf}/train_s3.parquet").filter("address_norm <> ''").groupBy("address_norm", "country_norm").count().toDF("address", "country", "n")
+    got = [{(r["address"], r["country"]): r["building"] for r in A.buildings(t.withColumn("n", t["n"] * k)).collect()} for k in (1, 10)]
+    assert got[0] == got[1] and len(got[0]) > 100
