@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -87,7 +88,9 @@ def ship(spark: SparkSession) -> None:
     if _SENT.get("to") == context.applicationId:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="kinfold-"), "kinfold.zip")
+    folder = tempfile.mkdtemp(prefix="kinfold-")  # of the driver alone: Spark copies the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "kinfold.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
