@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import addresses, encode, linkage, mixing, names, topn, truncation
 from kinfold.operators.segment import segment
+from kinfold.operators.truth import ID_FORM
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,12 @@ def p3_found(spark, d):
     return names.same_organisation(_records(spark, d).select("name", F.lit(1).alias("n")))
 
 
+@query("p3_scored")
+def p3_scored(spark, d):
+    """The pairs with a score by the rarity of their rewritings."""
+    return names.same_organisation(_records(spark, d).select("name", F.lit(1).alias("n")), scored=True)
+
+
 # ---------------------------------------------------------------- problem 4: same postal address written differently
 
 @query("p4_found")
@@ -72,9 +79,12 @@ def p2_ranked(spark, d):
 # ---------------------------------------------------------------- problem 6: matching entities without keys
 
 def _known(spark: SparkSession, d: str) -> DataFrame:
-    """The labelled links, with the ids of the packed lists read whole."""
-    ids = _records(spark, d).select("entity_id")
-    lists = segment(_t(spark, d, "train_matches"), ["source1_entity_id"], "matched_entity_ids", ids, "S[0-9]+-[0-9]+")
+    """The labelled links, with the ids of the packed lists read whole.
+
+    Ids of general form are found as such, so only the irregular ones are given as known values.
+    """
+    ids = _records(spark, d).select("entity_id").filter(~F.col("entity_id").rlike(f"^{ID_FORM}$"))
+    lists = segment(_t(spark, d, "train_matches"), ["source1_entity_id"], "matched_entity_ids", ids, ID_FORM)
     return lists.select(F.col("source1_entity_id").alias("s1_id"), F.col("value").alias("cand_id")).distinct()
 
 

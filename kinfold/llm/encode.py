@@ -120,11 +120,12 @@ def chunks(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return materialize(map_tables(source, run, "chunk long, doc string, at array<int>, idx int, word string"), "chunks")
 
 
-def _known(parts: DataFrame, path: str, ids: bool) -> tuple[DataFrame, DataFrame]:
+def _known(parts: DataFrame, path: str | None, ids: bool) -> tuple[DataFrame, DataFrame]:
     """Texts ``of, doc, at`` of chunks, and their words with the ids of each (or only how many, ``n``): every distinct word
     of the corpus is encoded once."""
     def encode_words(batch: dict[str, list]) -> dict[str, list]:
-        found = [encode_word(w, path) for w in batch["word"]]
+        own = path or vocabulary_path()  # the executor's own, where none is given
+        found = [encode_word(w, own) for w in batch["word"]]
         return {"word": batch["word"], "ids" if ids else "n": found if ids else list(map(len, found))}
 
     value = "ids" if ids else "n"
@@ -144,9 +145,9 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
 
     Empty and null texts have the empty list. Strings that look like special tokens are ordinary text. Every input row
     has its row, also with a repeated or null id; a text is handled whole, however long; other columns are ignored.
-    ``vocabulary`` is a path that all executors can read.
+    ``vocabulary`` is a path that all executors can read; by default each takes that of its own installed package.
     """
-    texts, known = _known(chunks(docs, id_column, text), vocabulary or vocabulary_path(), True)
+    texts, known = _known(chunks(docs, id_column, text), vocabulary, True)
 
     def assemble(left, right):
         """Gathers the ids of all texts of a chunk at once."""
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``doc_id, tokens``: how many token ids every text has, as ``encode`` would give them; no ids are moved."""
-    texts, known = _known(chunks(docs, id_column, text), vocabulary or vocabulary_path(), False)
+    texts, known = _known(chunks(docs, id_column, text), vocabulary, False)
 
     def assemble(left, right):
         import pyarrow as pa

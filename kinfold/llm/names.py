@@ -308,8 +308,21 @@ def name_groups(names: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFram
     return read_.select(*keys, "node", "context", F.split("forms", r"\|").alias("forms")).join(groups.select(F.col("id").alias("node"), "root"), "node")
 
 
-def same_organisation(names: DataFrame) -> DataFrame:
-    """Pairs ``name_a < name_b`` of different names of one organisation (columns ``name, n``; repeated names are summed)."""
+def same_organisation(names: DataFrame, scored: bool = False) -> DataFrame:
+    """Pairs ``name_a < name_b`` of different names of one organisation (columns ``name, n``; repeated names are summed).
+
+    ``scored`` adds ``score`` in [0, 1], by the rarity of rewritings: of a shared canonical form, the fewer of all names
+    are written to it the higher; of two forms that are near spellings, that of the commoner one, less the share that the
+    rarer one has of both, since an error is rare beside what it was meant to be.
+    """
     distinct = names.filter(F.col("name") != "").groupBy("name").agg(F.sum("n").alias("n"))
-    g = materialize(name_groups(distinct).select("name", "root"), "name_groups")
-    return g.select(F.col("name").alias("name_a"), "root").join(g.select(F.col("name").alias("name_b"), "root"), "root").filter("name_a < name_b").select("name_a", "name_b")
+    g = materialize(name_groups(distinct).select("name", "node", "root"), "name_groups")
+    if not scored:
+        return g.select(F.col("name").alias("name_a"), "root").join(g.select(F.col("name").alias("name_b"), "root"), "root").filter("name_a < name_b").select("name_a", "name_b")
+    total = g.agg(F.count(F.lit(1)).alias("n")).scalar()
+    sizes = g.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    g = materialize(g.join(sizes, "node").withColumn("rarity", F.log(total / F.col("w")) / F.log(total + F.lit(1))), "name_groups")
+    side = lambda x: g.select("root", F.col("name").alias(f"name_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "w", "rarity")])
+    pairs = side("a").join(side("b"), "root").filter("name_a < name_b")
+    other = F.least("rarity_a", "rarity_b") * (1 - F.least("w_a", "w_b") / (F.col("w_a") + F.col("w_b")))
+    return pairs.select("name_a", "name_b", F.when(F.col("node_a") == F.col("node_b"), F.col("rarity_a")).otherwise(other).alias("score"))
