@@ -100,6 +100,49 @@ def candidate_counts(s1: DataFrame, s2: DataFrame, s3: DataFrame, keys: list[str
     return counted.unionByName(without).withColumn("total_cands", F.col("s2_cands") + F.col("s3_cands"))
 
 
+def union_counts(s1: DataFrame, cands: dict[str, DataFrame]) -> DataFrame:
+    """``entity_id`` and, by name of the candidate table, how many of its records share the key of at least one rule of ``blocking.RULES``.
+
+    No pair is made. By inclusion and exclusion the size of the union follows from the numbers of records that agree on
+    combinations of keys: histograms of 96-bit hashes of combinations, joined once. With equal house numbers (u) a pair
+    matches where beginning of name, number with postal code (or address), or one of three word equalities agree; without,
+    where name, address or postal code with four letters do. Ids must be unique, and normalised names and addresses hold
+    no bars. Entities without any candidate have no row.
+    """
+    n, a, post, u = F.col("name_norm"), F.col("block_address_exact"), F.col("block_postal"), _number_key()
+    first4, first5 = F.when(F.length(n) >= 4, F.substring(n, 1, 4)), F.when(n != "", F.substring(n, 1, 5))
+    word = lambda i: F.when(F.length(f"w{i}") >= 4, F.col(f"w{i}"))
+    w1, w2, name = word(1), word(2), F.col("block_name_exact")
+    twice = F.when(F.col("w1") == F.col("w2"), w2)
+    unnumbered = F.when(F.col("addr_num") == "", a)
+    long_name = F.when(F.length(n) >= 4, name)
+    place = F.coalesce(post, a)
+    # Sign, key of the left and of the right record.
+    alone = [(1, [name]), (1, [unnumbered]), (1, [post, first4]), (-1, [name, unnumbered]), (-1, [long_name, post]), (-1, [u, name]), (-1, [u, post, first4]), (1, [u, long_name, post])]
+    terms = [(sign, key, key) for sign, key in alone]
+    # Combinations of: left word 1 is right word 2, left 2 is right 1, both second words are equal. Two of them with one right
+    # (left) word have rows only where the left (right) words are equal.
+    words = [(-1, [], []), (1, [w1], [w2]), (1, [w2], [w1]), (1, [w2], [w2]), (-1, [w1, w2], [w2, w1]), (-1, [twice], [w2]), (-1, [w2], [twice]), (1, [twice], [twice])]
+    for more, own in ((1, []), (-1, [first5]), (-1, [place]), (1, [first5, place])):
+        terms += [(sign * more, [u, *own, *l], [u, *own, *r]) for sign, l, r in words if own or l]
+
+    def rows(side: int) -> Column:
+        out = []
+        for i, t in enumerate(terms):
+            present = reduce(lambda x, y: x & y, [c.isNotNull() for c in t[side]])
+            out.append(F.when(present, F.struct(F.xxhash64(F.lit(i), *t[side]).alias("k"), F.hash(F.lit(i), *t[side]).alias("h"), F.lit(t[0]).alias("sign"))))
+        return F.inline(F.array_compact(F.array(*out)))
+
+    tagged = reduce(DataFrame.unionByName, [t.select(F.lit(x).alias("src"), rows(2)).drop("sign") for x, t in cands.items()])
+    sizes = tagged.groupBy("k", "h").agg(*[F.count_if(F.col("src") == x).alias(x) for x in cands])
+    hits = s1.select("entity_id", rows(1)).join(sizes, ["k", "h"])
+    return hits.groupBy("entity_id").agg(*[F.sum(F.col("sign") * F.col(x)).alias(x) for x in cands])
+
+
+def _number_key() -> Column:
+    return F.when(F.col("addr_num") != "", F.concat("country_norm", F.lit("|"), "addr_num"))
+
+
 def cross_counts(s1: DataFrame, s2: DataFrame, s3: DataFrame, one: str, two: str) -> DataFrame:
     """``entity_id, upper_bound, exact``: candidates whose key ``one`` is the entity's ``two`` or the other way round.
 
