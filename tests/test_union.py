@@ -6,7 +6,7 @@ import random
 import pytest
 
 from kinfold.operators import blocking as B
-from kinfold.operators import measure as M
+from kinfold.operators import score as S
 from kinfold.plans import catalog
 
 SCHEMA = "entity_id string, country_norm string, name_norm string, address_norm string"
@@ -66,7 +66,7 @@ def shuffled_pairs(df):
 
 
 def test_pairs_are_not_shuffled(spark, sf):
-    for name in ("pairs_flagged_s2", "pairs_fired_s3", "pairs_slim", "rule_post_name4"):
+    for name in ("pairs_flagged_s2", "pairs_fired_s3", "pairs_slim", "rule_post_name4", "features_pairs", "features_name_similarity"):
         assert shuffled_pairs(catalog.QUERIES[name](spark, sf)) == 0, name
 
 
@@ -84,3 +84,10 @@ def test_counts_make_no_pair(spark, sf):
     for name in ("audit_counts", "audit_distribution", "audit_recall", "audit_validation", "score_macro_f05"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert not any("Join Inner" in line and "cand_id" not in line and "s1_id" not in line and "key#" in line for line in plan.splitlines()), name
+
+
+def test_features_equal_those_by_ids(spark, folder):
+    one, two = (B.keyed(spark.read.parquet(f"{folder}/train_s{n}.parquet")) for n in (1, 2))
+    want = S.pair_features(catalog.QUERIES["pairs_fired_s2"](spark, folder).select("s1_id", "cand_id", "cand_source"), one, two)
+    got = catalog._features(spark, folder, one).filter("cand_source = 'S2'")
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
