@@ -1,5 +1,7 @@
 import itertools
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,3 +74,31 @@ def test_result_does_not_depend_on_how_often_all_records_are_counted(spark, sf):
     t = spark.read.parquet(f"{sf}/train_s2.parquet").filter("name_norm <> ''").groupBy("name_norm").count().toDF("name", "n")
     pairs = lambda k: {tuple(r) for r in N.same_organisation(t.withColumn("n", t["n"] * k)).collect()}
     assert pairs(1) == pairs(10)
+
+
+def test_the_heaviest_near_spelling_is_found_among_others_under_its_key(spark):
+    """Of the forms that begin alike, the near one is neither the commonest of all nor the next before."""
+    rows = [("bardonubes bakery", 100), ("bardonikto bakery", 50), ("bardonafir bakery", 20), ("bardonekta bakery", 1)]
+    got = {r["name"]: r["root"] for r in N.name_groups(spark.createDataFrame(rows, "name string, n int")).collect()}
+    assert got["bardonekta bakery"] == got["bardonikto bakery"] and len(set(got.values())) == 3
+
+
+def _keys(form):
+    six = {"<" + form[:6], ">" + form[-6:]} if len(form) >= 8 else set()
+    return six | {form} | ({form[:i] + form[i + 1 :] for i in range(len(form))} if len(form) >= 3 else set())
+
+
+@pytest.mark.parametrize("crowd, long", [(64, 24), (2, 24), (0, 24), (2, 4)])
+def test_all_forms_under_a_key_meet(spark, monkeypatch, crowd, long):
+    """Whether a key is crowded or its rests are long makes no difference to pairs within two edits."""
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choices("abo", k=n))
+    forms = [(k, k % 2, rnd.choice(["bardon" + word(rnd.randint(2, 6)), word(rnd.randint(0, 5)) + "bardon", word(rnd.randint(1, 4))])) for k in range(150)]
+    monkeypatch.setattr(N, "CROWD", crowd)
+    monkeypatch.setattr(N, "LONG", long)
+    got = {tuple(r) for r in N._meetings(spark.createDataFrame(forms, "node long, about long, form string")).collect()}
+    shared = {(a[0], b[0]) for a, b in itertools.combinations(forms, 2) if a[1] == b[1] and _keys(a[2]) & _keys(b[2])}
+    form = {k: f for k, _, f in forms}
+    near = {(a, b) for a, b in shared if N.edits(form[a], form[b]) <= 2}
+    assert near <= got <= shared and len(near) > 400
+    assert crowd < 64 or got == shared
