@@ -4,8 +4,11 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from kinfold.llm import graph
 from kinfold.llm import names as N
+from kinfold.session import materialize
 
 
 def same(a, b):
@@ -102,3 +105,22 @@ def test_all_forms_under_a_key_meet(spark, monkeypatch, crowd, long):
     near = {(a, b) for a, b in shared if N.edits(form[a], form[b]) <= 2}
     assert near <= got <= shared and len(near) > 400
     assert crowd < 64 or got == shared
+
+
+def test_growing_tables_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(df, label="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    for module in (N, graph):
+        monkeypatch.setattr(module, "materialize", seen)
+    monkeypatch.setattr(N, "CROWD", 1)
+    names = ["merleshumo bakery", "merlshumo bakery", "merleshuma bakery", "merleshumolin bakery", "merleshumolon bakery", "vantrebolux shoes"]
+    df = spark.createDataFrame([(x, 1) for x in names], "name string, n long")
+    nodes = N.rewritings(df).select("node", F.lit(0).cast("long").alias("about"), F.explode(F.split("forms", r"\|")).alias("form"))
+    out = [N._meetings(nodes), N.same_organisation(df), N.same_organisation(df, scored=True)]
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in out]
+    assert sum("SortMergeJoin" in x for x in plans) >= 5 and not any("BroadcastHashJoin" in x for x in plans)
+    assert out[1].count() > 0
