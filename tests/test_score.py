@@ -69,3 +69,23 @@ def test_name_similarity_of_all_pairs(spark, tmp_path):
     pairs = {(r["s1_id"], r["cand_id"]) for r in catalog.QUERIES["pairs_slim"](spark, str(tmp_path)).collect()}
     assert pairs and set(got) == pairs and any(not of[a].isascii() for a, _ in pairs)
     assert all(abs(s - (1 - edits(of[a], of[b]) / max(len(of[a]), len(of[b])))) < 1e-12 for (a, b), s in got.items())
+
+
+def test_classifier_is_fitted_on_all_pairs(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    seen, fit = [], GBTClassifier.fit
+
+    def spy(self, data):
+        # Without weights a row is a pair; Spark samples thresholds of more rows than bins squared or 10,000.
+        seen.append((data.selectExpr(f"sum({self.getWeightCol() if self.isDefined('weightCol') else 1})").first()[0], data.count(), self.getMaxBins()))
+        return fit(self, data)
+
+    monkeypatch.setattr(GBTClassifier, "fit", spy)
+    n = F.col("id")
+    names = {f: (n % 97 / 97 if f == "name_similarity" else n % 211 / 211 if f == "name_length_ratio" else n % 2) for f in C.FEATURES}
+    df = spark.range(300_000).select(n.cast("string").alias("s1_id"), n.cast("string").alias("cand_id"), (n % 97 > 60).alias("is_match"), *[c.alias(f) for f, c in names.items()])
+    train = C.folded(df).filter("fold > 0").count()
+    out = [C.precision_recall(C.fit_and_score(x, trees=1, depth=2), [0.5]).first() for x in (df, C.weighted(df))]
+    assert train > 200_000 and [x[0] for x in seen] == [train, train] and all(rows <= max(bins**2, 10_000) for _, rows, bins in seen)
+    assert out[0] == out[1] and out[0]["pairs"] > 0
