@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinfold.llm import addresses as A
 from kinfold.llm.graph import near
 from kinfold.llm.names import edits
+from kinfold.session import materialize
 
 
 def test_reading():
@@ -90,3 +91,20 @@ def test_result_does_not_depend_on_how_often_all_records_are_counted(spark, sf):
     t = spark.read.parquet(f"{sf}/train_s3.parquet").filter("address_norm <> ''").groupBy("address_norm", "country_norm").count().toDF("address", "country", "n")
     got = [{(r["address"], r["country"]): r["building"] for r in A.buildings(t.withColumn("n", t["n"] * k)).collect()} for k in (1, 10)]
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_growing_tables_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(df, label="step"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(A, "materialize", seen)
+    rows = [(f"e{i}", f"{i % 5 + 1} mulberitz strasse {t} 12345", "germany") for i, t in enumerate(["kobenstadt", "kobenstat", "kobnstadt"] * 5)]
+    out = A.same_building(spark.createDataFrame(rows, "entity_id string, address string, country string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # The usual town of a code is looked up in a table of codes, which may be broadcast.
+    joins = [line for x in plans for line in x.splitlines() if "Join" in line and "[code#" not in line]
+    assert sum("SortMergeJoin" in x for x in joins) >= 4 and not any("BroadcastHashJoin" in x for x in joins)
+    assert out.count() > 0

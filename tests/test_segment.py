@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinfold.operators import segment as G
+from kinfold.session import materialize
 
 FORM = re.compile("S[0-9]+-[0-9]+")
 ODD = ["S3-7,2", "S3-8|x", "S3-9;B"]
@@ -62,3 +63,12 @@ def test_links_of_lists_in_any_writing(spark):
     t = spark.createDataFrame([("a", "['S2-1', 'S3-7,2']"), ("a", "S2-1|S2-9"), ("b", None), ("c", "n/a")], "source1_entity_id string, matched_entity_ids string")
     ids = spark.createDataFrame([("S2-1",), ("S3-7,2",), ("S3-7,2",)], "entity_id string")
     assert sorted(map(tuple, L.read_links(t, ids).collect())) == [("a", "S2-1"), ("a", "S2-9"), ("a", "S3-7,2")]
+
+
+def test_exploded_lists_are_never_broadcast(spark):
+    lists = materialize(spark.createDataFrame([("a", "S2-1,S3-2"), ("b", "S2-3;odd")], "k string, packed string"))
+    known = materialize(spark.createDataFrame([("S2-1",), ("odd",)], "id string"))
+    out = G.segment(lists, ["k"], "packed", known, "S[0-9]+-[0-9]+")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [anchor_" in plan and "BroadcastHashJoin [anchor_" not in plan
+    assert sorted((r["k"], r["value"]) for r in out.collect()) == [("a", "S2-1"), ("a", "S3-2"), ("b", "S2-3"), ("b", "odd")]
